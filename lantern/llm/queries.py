@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs
+from . import anchors, byte_pairs
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,9 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op10_bpe_pair_index,)}
+QUERIES = {f.__name__: f for f in (op8_substring_anchors, op10_bpe_pair_index)}
 ORACLES: dict[str, str] = {}
