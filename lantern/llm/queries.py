@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, byte_pairs
+from . import anchors, byte_pairs, minhash_join
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.digests(_table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op10_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op8_substring_anchors, op10_bpe_pair_index)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_substring_anchors, op10_bpe_pair_index)}
 ORACLES: dict[str, str] = {}
