@@ -123,6 +123,7 @@ def _led(members: DataFrame, plan: Join) -> DataFrame:
             k = sig.shape[1]
             member, free = np.arange(len(sig)), np.ones(len(sig), bool)
             group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            of_member = np.full(len(sig), -1)
             edges, leaders = [], []
             while len(member):
                 waiting = member[free[member]]
@@ -135,8 +136,14 @@ def _led(members: DataFrame, plan: Join) -> DataFrame:
                 leader = of[group[member]]
                 alike = np.concatenate([(sig[m] == sig[x]).sum(1) for m, x in zip(np.array_split(member, 1 + len(member) // 4096), np.array_split(leader, 1 + len(member) // 4096), strict=True)]) / k
                 take = (alike >= plan.loose) & (member != leader)
-                edges.append(np.stack((member[take], leader[take]), 1))
+                m, x = member[take], leader[take]
+                # a member's first leader takes its edge; later ones are joined with that leader, once for each two
+                led = of_member[m] >= 0
+                edges.append(np.stack((m[~led], x[~led]), 1))
+                edges.append(np.unique(np.stack((x[led], of_member[m[led]]), 1), axis=0))
+                of_member[m[~led]] = x[~led]
                 leaders.append(head)
+                of_member[head] = np.where(of_member[head] < 0, head, of_member[head])
                 free[member[alike >= plan.near]] = False
                 free[head] = False
             e, h = np.concatenate(edges), np.concatenate(leaders)
@@ -276,7 +283,7 @@ def _labelled(df: DataFrame, plan: Join) -> DataFrame:
 def similarity_classes(df: DataFrame, plan: Join = Join()) -> DataFrame:
     """doc_id, class_id (the smallest id that a chain of links reaches), n_links (other rows that are similar enough)."""
     rows = durable(_labelled(df, plan))
-    least = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    least = durable(rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id")))  # so that a large class's rows can be split in the join
     return rows.join(least, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
 
 
