@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, byte_pairs, minhash_join
+from . import anchors, byte_pairs, compression, minhash_join
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,6 +18,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.digests(_table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_substring_anchors, op10_bpe_pair_index)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_compression_toxicity, op8_substring_anchors, op10_bpe_pair_index)}
 ORACLES: dict[str, str] = {}
