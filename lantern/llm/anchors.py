@@ -4,7 +4,8 @@ A window of `window` words repeats if its words also start somewhere in a docume
 positions whose remainder modulo `period` lies in a difference cover are hashed, over window - period + 1 words:
 for any two places of the same window there is a shift below the period that is a cover position at both, so they
 share an aligned anchor inside the window.  Anchors met in two documents are then extended: the full windows
-around them, and only those, are hashed (128 bits) and compared over all documents.
+around them, and only those, are hashed (96 bits) and compared over all documents.  A document whose whole text
+stands in one of a smaller id is settled beforehand.
 
 Shuffles carry (hash, document, position) rows.  Each block of documents first resolves what repeats inside it and
 sends one document for each hash, so a passage that a third of all documents hold reaches a task once per block.
@@ -22,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .texts import Words, blocks, mix, text_column, windows
+from .texts import MIX1, Words, blocks, mix, text_column, windows
 
 #: A perfect difference set; every remainder modulo 31 is a difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -55,7 +57,7 @@ class Anchoring:
         return at[np.isin(at % self.period, self.cover)]
 
 
-ROWS = "h1 long, h2 long, doc_id long, th long, start int, n int"
+ROWS = "h1 long, h2 int, id long, th int, start int, n int"
 
 
 def _runs(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +88,17 @@ def _resolved(h1: np.ndarray, h2: np.ndarray, row: np.ndarray, at: np.ndarray, d
     k = k[heads]
     s = np.flatnonzero(first)
     zeros = np.zeros(len(s), np.int32)
-    own = (mix(th[row[k]].view(np.uint64) + at[k].astype(np.uint64))).view(np.int64)  # deals the runs out evenly
+    own = (mix(doc[row[k]].view(np.uint64) + at[k].astype(np.uint64) * MIX1)).view(np.int64)  # deals the runs out evenly
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate((h1[s].view(np.int64), own))),
-            pa.array(np.concatenate((h2[s].view(np.int64), own))),
+            pa.array(np.concatenate((h2[s].view(np.int32), np.zeros(len(k), np.int32)))),
             pa.array(np.concatenate((doc[row[s]], doc[row[k]]))),
             pa.array(np.concatenate((th[row[s]], th[row[k]]))),
             pa.array(np.concatenate((at[s], at[k])).astype(np.int32)),
             pa.array(np.concatenate((zeros, lengths)).astype(np.int32)),
         ],
-        names=["h1", "h2", "doc_id", "th", "start", "n"],
+        names=["h1", "h2", "id", "th", "start", "n"],
     )
 
 
@@ -106,16 +108,41 @@ def _block_words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words, np.nd
         yield lo, hi, words, words.hashes()
 
 
+def _of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return _of(batch, "__id").to_numpy(), _of(batch, "__th").to_numpy()
+
+
 def _second(h: np.ndarray) -> np.ndarray:
     return mix(h ^ np.uint64(0xD6E8FEB86659FD93))
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """df with __id, __th and __copy: whether the same text stands in a document of a smaller id.
+
+    Such a document repeats as a whole; it is neither hashed nor compared.  Texts are compared by 128 bits on narrow
+    rows.  The three passes below read this one frame, whose shuffle of the texts Spark runs once and reuses.
+    """
+    docs = df.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.shiftright(F.xxhash64("text"), 32).cast("int")})
+    narrow = docs.select("__id", "__th", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).filter("__id IS NOT NULL AND text IS NOT NULL")
+    first = narrow.groupBy("t1", "t2").agg(F.min("__id").alias("first"))
+    copies = narrow.join(first, ["t1", "t2"]).filter("first < __id").select("__id", "__th", F.lit(True).alias("__copy")).distinct()
+    return docs.join(copies, ["__id", "__th"], "left")
+
+
+def _to_hash(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pc.and_(pc.and_(_of(batch, "__id").is_valid(), _of(batch, "text").is_valid()), _of(batch, "__copy").is_null()))
+
+
 def _places(df: DataFrame, plan: Anchoring) -> DataFrame:
     """ROWS of the anchors of all documents; start counts a document's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for batch in map(_to_hash, batches):
+            ids, ths = _numbers(batch)
             for lo, hi, words, hashes in _block_words(batch):
                 found = windows(hashes, plan.length)
                 counts = np.diff(words.first)
@@ -127,19 +154,19 @@ def _places(df: DataFrame, plan: Anchoring) -> DataFrame:
                     at.append(own + words.first[r])
                 if rows:
                     h = found[np.concatenate(at)]
-                    yield _resolved(h, h, np.concatenate(rows), np.concatenate(ordinals), ids[lo:hi], ths[lo:hi], False)
+                    yield _resolved(h, np.zeros(len(h), np.uint32), np.concatenate(rows), np.concatenate(ordinals), ids[lo:hi], ths[lo:hi], False)
 
     return df.mapInArrow(run, ROWS)
 
 
 def _runs_by_document(rows: DataFrame, keys: list[str], later_only: bool) -> DataFrame:
-    """doc_id, th, runs: what repeats in each document, from ROWS."""
+    """__id, __th, __runs: what repeats in each document, from ROWS."""
     same = Window.partitionBy(*keys)
-    least, most = F.min("doc_id").over(same), F.max("doc_id").over(same)
-    repeated = (F.col("doc_id") > F.col("least")) if later_only else (F.col("most") > F.col("least"))
+    least, most = F.min("id").over(same), F.max("id").over(same)
+    repeated = (F.col("id") > F.col("least")) if later_only else (F.col("most") > F.col("least"))
     marked = rows.withColumns({"least": least, "most": most}).filter((F.col("n") > 0) | repeated)
     run = F.struct("start", F.greatest("n", F.lit(1)).alias("n"))
-    return marked.groupBy("doc_id", "th").agg(F.collect_list(run).alias("runs"))
+    return marked.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(run).alias("__runs"))
 
 
 def _expanded(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +183,15 @@ def _flags(size: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _around(df: DataFrame, plan: Anchoring) -> DataFrame:
-    """ROWS of the full windows around the repeated anchors (column runs) of each document."""
+    """ROWS of the full windows around the repeated anchors (column __runs) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            runs = batch.column(batch.schema.get_field_index("runs"))
+            batch = batch.filter(_of(batch, "__runs").is_valid())
+            ids, ths = _numbers(batch)
+            runs = _of(batch, "__runs")
             for lo, hi, words, hashes in _block_words(batch):
-                first, second = windows(hashes, plan.window), windows(_second(hashes), plan.window)
+                first, second = windows(hashes, plan.window), windows(_second(hashes), plan.window).astype(np.uint32)
                 rows, at, place = [], [], []
                 for r in range(hi - lo):
                     n = int(words.first[r + 1] - words.first[r])
@@ -182,22 +210,20 @@ def _around(df: DataFrame, plan: Anchoring) -> DataFrame:
     return df.mapInArrow(run, ROWS)
 
 
-def removed_windows(df: DataFrame, plan: Anchoring = Anchoring()) -> DataFrame:
-    """doc_id, th (hash of the text), runs: the starts of the windows to be removed from each document."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = _runs_by_document(_places(named, plan), ["h1"], False)
-    return _runs_by_document(_around(named.join(anchors, ["doc_id", "th"]), plan), ["h1", "h2"], True)
+def _removed_windows(keyed: DataFrame, plan: Anchoring) -> DataFrame:
+    """__id, __th, __runs: the starts of the windows to be removed from each document that is no copy."""
+    anchors = _runs_by_document(_places(keyed, plan), ["h1", "h2"], False)
+    return _runs_by_document(_around(keyed.join(anchors, ["__id", "__th"], "left"), plan), ["h1", "h2"], True)
 
 
 def _kept(df: DataFrame, plan: Anchoring, schema: str, make: Callable[[pa.RecordBatch, dict], list[pa.Array]]) -> DataFrame:
     """Rows of df with the words that no removed window covers; make gets a slice of rows and what is kept of each."""
-    docs = df.withColumn("th", F.xxhash64("text"))
-    joined = docs.join(removed_windows(df, plan), ["doc_id", "th"], "left").select(*df.columns, "runs")
+    keyed = _keyed(df)
+    joined = keyed.join(_removed_windows(keyed, plan), ["__id", "__th"], "left").select(*df.columns, "__copy", "__runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column(batch.schema.get_field_index("runs"))
+            runs, copy = _of(batch, "__runs"), _of(batch, "__copy").is_valid().to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in blocks(text_column(batch)):
                 words = Words(data, offsets)
                 keep = np.ones(len(words.ids), bool)
@@ -207,6 +233,9 @@ def _kept(df: DataFrame, plan: Anchoring, schema: str, make: Callable[[pa.Record
                     gone = _flags(int(counts[r]), starts, lengths + plan.window - 1)
                     keep[words.first[r] : words.first[r + 1]] = ~gone
                     removed[r] = gone.sum()
+                for r in np.flatnonzero(copy[lo:hi] & (counts >= plan.window)):
+                    keep[words.first[r] : words.first[r + 1]] = False
+                    removed[r] = counts[r]
                 gap = (data == 32) | ((data >= 9) & (data <= 13))
                 begins = np.zeros(len(data), np.int64)
                 begins[words.at] = 1
