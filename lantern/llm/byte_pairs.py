@@ -29,6 +29,7 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The contractions of the byte-level pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+CODE_BYTES = 12 << 20  # of text that are encoded at a time: larger blocks share more pieces
 NEVER = np.iinfo(np.int32).max
 
 
@@ -284,7 +285,7 @@ def encoded(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
         own = codec(content.value)
         for batch in batches:
             texts = text_column(batch, "text")
-            for lo, hi, data, offsets in blocks(texts):
+            for lo, hi, data, offsets in blocks(texts, CODE_BYTES):
                 ids, at = own.encode(data, offsets)
                 flat, byte_at = own.decode(ids)
                 decoded = [bytes(flat[byte_at[a] : byte_at[b]]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -307,7 +308,7 @@ def digests(df: DataFrame, vocabulary: str) -> DataFrame:
         own = codec(content.value)
         for batch in batches:
             texts = text_column(batch, "text")
-            for lo, hi, data, offsets in blocks(texts):
+            for lo, hi, data, offsets in blocks(texts, CODE_BYTES):
                 ids, at = own.encode(data, offsets)
                 (words, word_at), (flat, byte_at) = own.digits(ids), own.decode(ids)
                 spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))

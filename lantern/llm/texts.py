@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 _U = np.uint64
 #: Odd multipliers of the rolling and mixing steps (64-bit golden ratio and the splitmix64 finaliser).
 ROLL, MIX1, MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
