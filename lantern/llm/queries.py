@@ -5,15 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, byte_pairs, compression, minhash_join
+from . import anchors, byte_pairs, compression, fertility, minhash_join, packing
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
+
+
+def op3_grouping_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
@@ -30,5 +39,5 @@ def op10_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_compression_toxicity, op8_substring_anchors, op10_bpe_pair_index)}
+QUERIES = {f.__name__: f for f in (op1_fertility_rules, op3_grouping_packer, op4_ngram_jaccard_join, op6_compression_toxicity, op8_substring_anchors, op10_bpe_pair_index)}
 ORACLES: dict[str, str] = {}
