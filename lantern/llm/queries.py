@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, byte_pairs, compression, fertility, minhash_join, packing
+from . import anchors, byte_pairs, compression, fertility, licenses, minhash_join, packing, placement, rotation
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+SHARDS = [f"shard-{i:03d}" for i in range(200)]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation.rotated(_table(spark, sf_dir, "conversations"))
+
+
 def op3_grouping_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -27,10 +32,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_permutation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.placed(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS).select("doc_id", "part", "slot", "shard")
+
+
 def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.digests(_table(spark, sf_dir, "documents"))
 
@@ -39,5 +52,5 @@ def op10_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility_rules, op3_grouping_packer, op4_ngram_jaccard_join, op6_compression_toxicity, op8_substring_anchors, op10_bpe_pair_index)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fertility_rules, op2_perspective_rotation, op3_grouping_packer, op4_ngram_jaccard_join, op5_permutation_table, op6_compression_toxicity, op7_license_scan, op8_substring_anchors, op10_bpe_pair_index)}
+ORACLES: dict[str, str] = {"op2_perspective_rotation": rotation.SQL}
