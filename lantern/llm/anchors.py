@@ -269,13 +269,13 @@ def without_repeats(df: DataFrame, plan: Anchoring = Anchoring()) -> DataFrame:
 
     n_chars, where there is such a column, follows the text.
     """
-    at = df.columns.index("text")
+    names, at = list(df.columns), df.columns.index("text")
 
     def make(rows: pa.RecordBatch, found: dict) -> pa.RecordBatch:
         old = rows.column(at)
         new = pa.array([t.decode() if n else o for t, n, o in zip(found["kept"], found["n_removed"].tolist(), old.to_pylist(), strict=True)], old.type)
-        columns = [new if i == at else rows.column(i) for i in range(len(df.columns))]
-        return pa.RecordBatch.from_arrays(columns, names=df.columns)
+        columns = [new if i == at else rows.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     out = _kept(df, plan, df.schema, make)
     return out.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out

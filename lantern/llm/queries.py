@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, byte_pairs, compression, fertility, licenses, minhash_join, packing, placement, rotation
+from . import anchors, byte_pairs, compression, fertility, kmeans_tree, licenses, minhash_join, packing, placement, rotation
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,9 +48,13 @@ def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility_rules, op2_perspective_rotation, op3_grouping_packer, op4_ngram_jaccard_join, op5_permutation_table, op6_compression_toxicity, op7_license_scan, op8_substring_anchors, op10_bpe_pair_index)}
+QUERIES = {f.__name__: f for f in (op1_fertility_rules, op2_perspective_rotation, op3_grouping_packer, op4_ngram_jaccard_join, op5_permutation_table, op6_compression_toxicity, op7_license_scan, op8_substring_anchors, op9_kmeans_tree, op10_bpe_pair_index)}
 ORACLES: dict[str, str] = {"op2_perspective_rotation": rotation.SQL}
