@@ -1,6 +1,6 @@
 """All registered queries of the library's own jobs."""
 
-from . import chats
+from . import chats, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chats"]
+__all__ = ["ORACLES", "QUERIES", "chats", "texts"]
