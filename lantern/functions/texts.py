@@ -187,7 +187,7 @@ def with_prefix(model: Column, text: Column, query: bool) -> Column:
 
 def clean_query(text: Column, chars: int = 300) -> Column:
     """A rewritten question: the first line with text, without its label and quotes; null if nothing is left."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     line = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     line = F.regexp_replace(line, r"(?iu)^(самостоятельный вопрос:|вопрос:)\s*", "")
     line = F.trim(F.regexp_replace(line, "^[«»\"'“”„ ]+|[«»\"'“”„ ]+$", ""))

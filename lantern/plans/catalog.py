@@ -1,6 +1,6 @@
 """All registered queries of the library's own jobs."""
 
-from . import chats, texts, vectors
+from . import chats, evaluation, texts, vectors
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chats", "texts", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "chats", "evaluation", "texts", "vectors"]
