@@ -58,7 +58,7 @@ class Rules:
     scripts: Mapping[str, Band] = field(
         default_factory=lambda: {
             "none": Band((0.3, 12.0), (0.3, 12.0), 1.0, (0.0, 1.0)),
-            "latin": Band((1.85, 6.5), (1.5, 6.5), 0.1, (0.42, 1.0)),
+            "latin": Band((1.7, 6.5), (1.4, 6.5), 0.1, (0.42, 1.0)),
             "greek": Band((0.6, 6.5), (0.8, 6.5), 0.5, (0.4, 1.0)),
             "cyrillic": Band((0.6, 6.5), (0.8, 6.5), 0.5, (0.4, 1.0)),
             "hebrew": Band((0.5, 6.5), (0.5, 6.5), 1.0, (0.3, 1.0)),

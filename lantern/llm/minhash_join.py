@@ -173,11 +173,21 @@ def _candidates(classes: DataFrame, plan: Join) -> DataFrame:
     return components(edges.unionByName(again))
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by pair and fp, without rows that repeat the one before (as where a skewed join was split)."""
+    last = None
+    for batch in batches:
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        fresh = [row != before for row, before in zip(rows, [last, *rows[:-1]], strict=True)]
+        last = rows[-1] if rows else last
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def _compared(members: DataFrame, plan: Join) -> DataFrame:
     """From pair (of blocks), side, fp, copies, grams: fp a, b with links 0 for links that join (a forest), and fp a, b null with its number of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, cuts in whole_groups(batches, "pair"):
+        for batch, cuts in whole_groups(_once(batches), "pair"):
             fps, sides, copies = batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             grams = batch.column(4)
             a_out, b_out, n_out = [], [], []
@@ -185,7 +195,7 @@ def _compared(members: DataFrame, plan: Join) -> DataFrame:
                 sets = [np.frombuffer(grams[i].as_py(), np.uint64) for i in range(lo, hi)]
                 linked = _linked(sets, plan.threshold)
                 side = sides[lo:hi]
-                if side.any():  # two blocks: each block's own pairs are another group's
+                if side[0] >= 0:  # two blocks: each block's own pairs are another group's
                     linked &= side[:, None] != side[None, :]
                 links = linked @ copies[lo:hi]
                 i, j = _forest(linked)
@@ -196,7 +206,7 @@ def _compared(members: DataFrame, plan: Join) -> DataFrame:
             a, b, n = map(np.concatenate, (a_out, b_out, n_out))
             yield pa.RecordBatch.from_arrays([fps.take(pa.array(a)), fps.take(pa.array(b, mask=b < 0)), pa.array(n.astype(np.int64))], names=["a", "b", "links"])
 
-    return members.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a binary, b binary, links long")
+    return members.repartition("pair").sortWithinPartitions("pair", "fp").mapInArrow(run, "a binary, b binary, links long")
 
 
 def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -245,7 +255,11 @@ def _full_sets(df: DataFrame, chosen: DataFrame, plan: Join) -> DataFrame:
     """pair, fp, side, copies, grams for the chosen documents (doc_id, th, fp, copies, pairs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a class's row may be repeated in the table; its copies come to the same task
         for batch in batches:
+            fps = batch.column(0).to_pylist()
+            first = [fp not in seen and not seen.add(fp) for fp in fps]
+            batch = batch.filter(pa.array(first, pa.bool_()))
             for lo, hi, data, offsets in blocks(text_column(batch)):
                 grams = [s.tobytes() for s in _sets(Words(data, offsets), plan.n)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(grams, pa.binary())], names=["fp", "copies", "pairs", "grams"])
@@ -269,7 +283,7 @@ def _labelled(df: DataFrame, plan: Join) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda o: F.struct(F.concat_ws("/", F.hex("component"), F.least(F.col("own"), o), F.greatest(F.col("own"), o)).alias("pair"), (F.col("own") > o).cast("int").alias("side")),
+        lambda o: F.struct(F.concat_ws("/", F.hex("component"), F.least(F.col("own"), o), F.greatest(F.col("own"), o)).alias("pair"), F.when(F.col("own") == o, -1).otherwise((F.col("own") > o).cast("int")).alias("side")),
     )
     chosen = sized.withColumn("own", own).select(F.col("node").alias("fp"), pairs.alias("pairs")).join(classes.select("fp", "copies", "doc_id", "th"), "fp")
     results = durable(_compared(_full_sets(df, chosen, plan), plan))
