@@ -37,8 +37,8 @@ EDGES = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~^`@0123456789"
 
 @dataclass(frozen=True)
 class Training:
-    toxic: int = 2500  # most labelled documents of each kind in the fit
-    ordinary: int = 6000
+    toxic: int = 2000  # most labelled documents of each kind in the fit
+    ordinary: int = 4000
     calibration: float = 0.35  # share of them that only calibrates
     toxic_bytes: int = 3072
     ordinary_bytes: int = 112640
@@ -134,8 +134,8 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, how: Training) -> list[tuple[int, list[str]]]:
-    """(toxic, windows of each distinct text) of the sampled documents; bounded by the sizes in `how`."""
+def sample(docs: DataFrame, labels: DataFrame, how: Training) -> list[tuple[int, str]]:
+    """(toxic, windows with a space between them) of each distinct sampled text; bounded by the sizes in `how`."""
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, how.toxic), (0, how.ordinary))]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic + ordinary rows of two numbers
@@ -146,31 +146,33 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training) -> list[tuple[int,
             for lo, hi, data, offsets in blocks(text_column(batch)):
                 words = Words(data, offsets)
                 cores = [window(w) for w in words.vocab.to_pylist()]
-                lists = [[c for c in dict.fromkeys(cores[i] for i in words.ids[a:b]) if len(c) > 2] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo).cast(pa.int64()) for i in (0, 1)), pa.array(lists, pa.list_(pa.string())), pa.array(np.diff(words.first), pa.int64())], names=["doc_id", "toxic", "windows", "n"])
+                lists = [" ".join(c for c in dict.fromkeys(cores[i] for i in words.ids[a:b]) if len(c) > 2) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo).cast(pa.int64()) for i in (0, 1)), pa.array(lists, pa.string())], names=["doc_id", "toxic", "windows"])
 
-    rows = texts.mapInArrow(run, "doc_id long, toxic long, windows array<string>, n long").collect()
-    distinct = {(r["toxic"], tuple(r["windows"])): r["doc_id"] for r in sorted(rows, key=lambda r: -r["doc_id"])}
-    return [(t, list(w)) for (t, w), _ in sorted(distinct.items(), key=lambda x: x[1])]
+    rows = texts.mapInArrow(run, "doc_id long, toxic long, windows string").collect()
+    distinct = {(r["toxic"], r["windows"]): r["doc_id"] for r in sorted(rows, key=lambda r: -r["doc_id"])}
+    return [key for key, _ in sorted(distinct.items(), key=lambda x: x[1])]
 
 
-def fit(rows: list[tuple[int, list[str]]], how: Training = Training()) -> Model:
+def fit(rows: list[tuple[int, str]], how: Training = Training()) -> Model:
     """Dictionaries from one part of the sampled documents, thresholds from the rest."""
     share = max(2, round(1 / how.calibration)) if how.calibration else 0
     apart = [i % share == 0 for i in range(len(rows))]
     toxic, ordinary = ([w for (t, w), a in zip(rows, apart, strict=True) if t == k and not a] for k in (1, 0))
     if not toxic or not ordinary:
         return Model(b" ", b" ", how.distances, ())
-    in_toxic, in_ordinary = (Counter(g for words in docs for g in set().union(*map(_fives, words))) for docs in (toxic, ordinary))
     least, scale = max(3, how.support * len(toxic)), len(ordinary) / len(toxic)
-    telling = {g for g, n in in_toxic.items() if n >= least and n * scale >= how.odds * (in_ordinary[g] + 1)}
-    toxic_text = [b"".join(spelled(w) for w in words if telling & _fives(w)) for words in toxic]
-    ordinary_text = [b"".join(map(spelled, words[i : i + 40])) for words in ordinary for i in range(0, len(words), 40)]
+    in_toxic = Counter(g for text in toxic for g in set().union(*map(_fives, text.split())))
+    often = {g: n for g, n in in_toxic.items() if n >= least}
+    in_ordinary = Counter(g for text in ordinary for g in often.keys() & set().union(*map(_fives, text.split())))
+    telling = {g for g, n in often.items() if n * scale >= how.odds * (in_ordinary[g] + 1)}
+    toxic_text = [b"".join(spelled(w) for w in text.split() if telling & _fives(w)) for text in toxic]
+    ordinary_text = [b"".join(map(spelled, words[i : i + 40])) for words in map(str.split, ordinary) for i in range(0, len(words), 40)]
     model = Model(_dictionary([t for t in toxic_text if t], how.toxic_bytes), _dictionary(ordinary_text, how.ordinary_bytes), how.distances, ())
     gauge = Distances(model.toxic, model.ordinary)
     rest = [r for r, a in zip(rows, apart, strict=True) if a]
-    counts = np.array([_beyond(gauge.of([w.encode() for w in words]), how.distances) for _, words in rest])
-    weights = _logistic(_features(counts, np.array([len(w) for _, w in rest])), np.array([t for t, _ in rest]))
+    counts = np.array([_beyond(gauge.of(text.encode().split(b" ")), how.distances) for _, text in rest])
+    weights = _logistic(_features(counts, np.array([len(text.split()) for _, text in rest])), np.array([t for t, _ in rest]))
     return Model(model.toxic, model.ordinary, how.distances, tuple(weights.tolist()))
 
 
