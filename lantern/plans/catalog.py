@@ -1,6 +1,6 @@
 """All registered queries of the library's own jobs."""
 
-from . import chats, evaluation, safety, texts, vectors
+from . import chats, corpus, evaluation, safety, texts, vectors
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chats", "evaluation", "safety", "texts", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "chats", "corpus", "evaluation", "safety", "texts", "vectors"]
