@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chat_history, chat_stats
 from ..sources import chat_store
+from ..streaming import answers
 from .registry import query, table
 
 SINCE = dt.datetime(2024, 1, 3)
@@ -195,3 +196,9 @@ def win12(spark, sf_dir):
 @query("set4_distinct_texts", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
 def set4(spark, sf_dir):
     return chat_history.distinct_texts(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query("str4_streamed_answers", f"SELECT chat_id AS answer_id, string_agg(content, ' ' ORDER BY seq) AS text FROM ({MESSAGES}) WHERE role = 'assistant' GROUP BY 1")
+def str4(spark, sf_dir):
+    deltas = _m(spark, sf_dir).filter("role = 'assistant'").select(F.col("chat_id").alias("answer_id"), "seq", F.concat("content", F.lit(" ")).alias("delta"))
+    return answers.guarded_batch(deltas).select("answer_id", F.regexp_replace(F.array_join("parts", ""), " $", "").alias("text"))

@@ -26,3 +26,19 @@ def test_first_votes(spark, tmp_path):
     run = chats.first_votes(stream).writeStream.format("memory").queryName("votes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("votes").count() == 10
+
+
+def test_streamed_answer_is_the_masked_answer():
+    import random
+
+    from lantern.streaming import answers
+
+    text = "Позвоните 8 495 123 45 67 или +7 (495) 123-45-67, карта 4111 1111 1111 1111, паспорт 45 08 123456, почта a.b@mail.ru и снова слова без чисел. " * 4 + "x" * 1500 + " конец 12 34"
+    r = random.Random(1)
+    for _ in range(100):
+        tail, out, at = "", "", 0
+        while at < len(text):
+            n = r.choice((1, 3, 17, 90, 400))
+            sent, tail = answers.released(tail + text[at : at + n])
+            out, at = out + sent, at + n
+        assert out + answers.masked(tail) == answers.masked(text)
