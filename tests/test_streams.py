@@ -1,6 +1,7 @@
 """A finite stream gives what the batch gives."""
 
 import datetime as dt
+import time
 
 from lantern.streaming import chats
 
@@ -12,8 +13,11 @@ def test_rate_limit_parity(spark, tmp_path):
     requests.coalesce(1).write.parquet(str(tmp_path / "in"))
     batch = sorted(map(tuple, chats.rate_limited_batch(requests, 2).collect()))
     stream = spark.readStream.schema(requests.schema).parquet(str(tmp_path / "in"))
-    run = chats.rate_limited(stream, 2).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = chats.rate_limited(stream, 2).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    until = time.time() + 90  # a query with processing-time timeouts goes on with empty batches
+    while spark.table("limited").count() < len(rows) and time.time() < until and run.isActive:
+        time.sleep(0.5)
+    run.stop()
     assert sorted(map(tuple, spark.table("limited").collect())) == batch
     assert not all(r[2] for r in batch)
 
@@ -23,8 +27,9 @@ def test_first_votes(spark, tmp_path):
     votes = spark.createDataFrame([(i, i // 4, f"u{i % 2}", "up", start + dt.timedelta(minutes=i)) for i in range(20)], "id long, message_id long, owner string, value string, created_at timestamp")
     votes.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(votes.schema).parquet(str(tmp_path / "in"))
-    run = chats.first_votes(stream).writeStream.format("memory").queryName("votes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = chats.first_votes(stream).writeStream.format("memory").queryName("votes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    run.processAllAvailable()
+    run.stop()
     assert spark.table("votes").count() == 10
 
 
