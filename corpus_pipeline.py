@@ -20,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that meet the base rules and their script's band."""
+    """Documents that meet the base rules and their language's bounds."""
     return fertility.good(docs, BYTE_VOCABULARY, PIECE_MODEL)
 
 

@@ -2,19 +2,27 @@
 
 Two public vocabularies measure each whole text: a byte-level BPE gives characters per token and the entropy of
 the text's token distribution (over its upper bound, the logarithm of the number of tokens), and a BPE with byte
-fallback gives characters per piece and the share of pieces that are bytes.  A band for each script, or for each
-language where one is given, bounds these four measures; a text outside any bound is rejected.  Texts of fewer than
-`least_tokens` tokens are too short for the measures and only meet the base rules.
+fallback gives characters per piece and the share of pieces that are bytes.  A text outside any bound is rejected.
+
+Bounds come from two places.  `scripts` (and `languages`, where given) holds fixed outer bands.  Inside them, a Spark
+aggregate over all distinct documents that meet the base rules gives the usual value of each measure (the median and
+half the distance between the quartiles) by language and length, as shorter texts vary more: a text of `spreads`
+spreads or more below the median in characters per token, characters per piece or entropy is rejected, and so is
+one that far above it in its share of bytes.  A length that is rare in a language takes the language's bounds at all
+lengths; a language that is null or rare takes the loosest bounds of its script's languages and of the script as a whole;
+a group is rare with fewer than `least_documents` documents or one document in 10,000, and a rare script has
+only its fixed band.  Texts of fewer than `least_tokens` tokens are too short for the measures other than the share of
+bytes, and meet that and the base rules.
 
 Base rules: at least 10 words, and at most a fifth of them in 5-word windows that the text repeats.
 
 Defined results: a null or empty text has no words and fails the base rules; the script of a text without letters
-is "none", which has the widest band; a null or unknown language takes its script's band; other columns aren't
-looked at.
+is "none", which has the widest band; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -25,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import codec, shared_file
+from .groups import shared_folder
 from .texts import Words, blocks, mix, text_column, windows
 
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "cjk", "hangul")
@@ -55,6 +64,8 @@ class Rules:
     most_repeated: int = 20  # percent of words in repeated windows
     run: int = 5
     least_tokens: int = 40
+    spreads: float = 4.0
+    least_documents: int = 100
     scripts: Mapping[str, Band] = field(
         default_factory=lambda: {
             "none": Band((0.3, 12.0), (0.3, 12.0), 1.0, (0.0, 1.0)),
@@ -198,8 +209,47 @@ def measured(df: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame
     return df.mapInArrow(run, f"{schema}, __m struct<{', '.join(f'{k}:{v}' for k, v in MEASURES.items())}>")
 
 
-def judged(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules = Rules()) -> DataFrame:
-    """The rows of df with a struct __q: measures, ratios, base_failed and kept."""
+#: The measures with a lower bound from the corpus, then the one with an upper bound; their decimals in the aggregate.
+FLOORS, CEILING, DECIMALS = ("chars_per_token", "chars_per_piece", "token_entropy"), "fallback_share", 4
+
+
+def _bounds(rows: DataFrame, keys: list[str], rules: Rules, least: int) -> DataFrame:
+    """keys and, for each measure, its bound in the groups of `least` rows or more; values are rounded, so that the percentiles are exact over few values."""
+    middle = lambda k: F.percentile(F.round(k, DECIMALS), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(k)
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(middle(k) for k in (*FLOORS, CEILING))).filter(F.col("n") >= least)
+    spread = lambda k: F.greatest((F.col(k)[2] - F.col(k)[0]) / 2, 0.005 * F.col(k)[1])
+    low = [(F.col(k)[1] - rules.spreads * spread(k)).alias(k) for k in FLOORS]
+    return found.select(*keys, *low, (F.col(CEILING)[1] + F.greatest(rules.spreads * spread(CEILING), F.lit(0.1))).alias(CEILING))
+
+
+def _with_bounds(rows: DataFrame, rules: Rules) -> DataFrame:
+    """rows with a struct __b of the bounds that hold for them, null where only the fixed band does."""
+    rows = rows.withColumn("__length", F.least(F.greatest(F.floor(F.log2("__q.n_tokens")), F.lit(5)), F.lit(12)).cast("int"))
+    lang = F.col("lang") if "lang" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("__lang", lang).withColumn("__script", F.col("__q.script"))
+    measured_rows = rows.filter(~F.col("__q.base_failed") & (F.col("__q.n_tokens") >= rules.least_tokens))
+    seen = ["__lang", "__script", "__length", *(f"__q.{k}" for k in ("n_chars_text", "n_tokens", "n_pieces", *FLOORS, CEILING))]
+    distinct = measured_rows.select(*seen).distinct()  # copies count once
+    least = max(rules.least_documents, rows.count() // 10_000)
+    known = distinct.filter("__lang IS NOT NULL")
+    bound = lambda keys, source=known: _bounds(source, keys, rules, least)
+    by_script = []
+    for keys in (["__script", "__length"], ["__script"]):
+        # the language isn't known, so the loosest bound of any of the script's languages holds
+        either = bound(keys, distinct).unionByName(bound(["__lang", *keys]).drop("__lang"))
+        by_script.append((keys, either.groupBy(*keys).agg(*(F.min(k).alias(k) for k in FLOORS), F.max(CEILING).alias(CEILING))))
+    levels = [(k, bound(k)) for k in (["__lang", "__length"], ["__lang"])] + by_script
+    for i, (keys, found) in enumerate(levels):
+        rows = rows.join(F.broadcast(found.select(*keys, F.struct(*FLOORS, CEILING).alias(f"__b{i}"))), keys, "left")
+    return rows.withColumn("__b", F.coalesce(*(f"__b{i}" for i in range(len(levels)))))
+
+
+def judged(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules = Rules(), columns: list[str] | None = None) -> DataFrame:
+    """`columns` of df (all of them) with a struct __q: measures, ratios, base_failed and kept.
+
+    The measures are written once to the shared folder, with these columns, and read for the bounds and for the verdict.
+    """
+    columns = df.columns if columns is None else columns
     m = measured(df, byte_vocabulary, piece_model)
     c = lambda name: F.col(f"__m.{name}")
     base = (c("n_words") < rules.least_words) | (100 * c("n_repeat_words") > rules.most_repeated * c("n_words"))
@@ -209,28 +259,36 @@ def judged(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules =
         "fallback_share": F.try_divide(c("n_fallback"), c("n_pieces")),
         "token_entropy": c("token_entropy"),
     }
+    parts = [*(c(k).alias(k) for k in MEASURES if k != "token_entropy"), *(r.alias(k) for k, r in ratios.items()), base.alias("base_failed")]
+    path = f"{shared_folder(df.sparkSession)}/fertility-{uuid.uuid4().hex}"
+    m.select(*columns, F.struct(*parts).alias("__q")).write.parquet(path)
+    rows = _with_bounds(df.sparkSession.read.parquet(path), rules)
+    q = lambda name: F.coalesce(F.col(f"__q.{name}"), F.lit(0.0))
+    short = F.col("__q.n_tokens") < rules.least_tokens
 
     def inside(band: Band):
-        cpt, cpp, fallback, entropy = (F.coalesce(r, F.lit(0.0)) for r in ratios.values())
-        return cpt.between(*band.chars_per_token) & cpp.between(*band.chars_per_piece) & (fallback <= band.most_fallback) & entropy.between(*band.entropy)
+        measures = q("chars_per_token").between(*band.chars_per_token) & q("chars_per_piece").between(*band.chars_per_piece) & q("token_entropy").between(*band.entropy)
+        return (q("fallback_share") <= band.most_fallback) & (short | measures)
 
     verdict = F.lit(True)
     for script, band in rules.scripts.items():
-        verdict = F.when(c("script") == script, inside(band)).otherwise(verdict)
-    if rules.languages and "lang" in df.columns:
+        verdict = F.when(F.col("__q.script") == script, inside(band)).otherwise(verdict)
+    if rules.languages and "lang" in columns:
         for language, band in rules.languages.items():
             verdict = F.when(F.coalesce(F.col("lang"), F.lit("")) == language, inside(band)).otherwise(verdict)
-    verdict = F.when(c("n_tokens") < rules.least_tokens, F.lit(True)).otherwise(verdict)
-    parts = [*(c(k).alias(k) for k in MEASURES if k != "token_entropy"), *(r.alias(k) for k, r in ratios.items()), base.alias("base_failed"), (~base & verdict).alias("kept")]
-    return m.withColumn("__q", F.struct(*parts)).drop("__m")
+    usual = F.coalesce(q(CEILING) <= F.col(f"__b.{CEILING}"), F.lit(True))
+    for k in FLOORS:
+        usual &= short | F.coalesce(q(k) > F.col(f"__b.{k}"), F.lit(True))
+    kept = (~F.col("__q.base_failed") & verdict & usual).alias("kept")
+    return rows.select(*columns, F.struct("__q.*", kept).alias("__q"))
 
 
 def quality(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, then the measures."""
-    columns = ["doc_id", "text", *(["lang"] if rules.languages and "lang" in df.columns else [])]
+    columns = ["doc_id", *(["lang"] if "lang" in df.columns else [])]
     first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     rest = ["script", "chars_per_token", "chars_per_piece", "fallback_share", "token_entropy"]
-    return judged(df.select(*columns), byte_vocabulary, piece_model, rules).select("doc_id", *(F.col(f"__q.{k}").alias(k) for k in [*first, *rest]))
+    return judged(df.select(*columns, "text"), byte_vocabulary, piece_model, rules, columns).select("doc_id", *(F.col(f"__q.{k}").alias(k) for k in [*first, *rest]))
 
 
 def good(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules = Rules()) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables that hold the hard cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lantern.llm import anchors, byte_pairs, compression, fertility, kmeans_tree, licenses, minhash_join, packing, placement, rotation
@@ -155,6 +157,21 @@ def test_fertility(docs, none):
     assert fertility.quality(docs, BYTES, PIECES, strict).filter("kept AND n_words > 100").count() < got.filter("kept AND n_words > 100").count()
 
 
+def test_fertility_bounds_by_language(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    got = fertility.quality(spark.read.parquet(f"{sf}/documents.parquet"), BYTES, PIECES).filter("NOT base_failed")
+    seen = {r["quality"]: (r["n"], r["kept"]) for r in got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert seen[0][1] < 0.3 * seen[0][0] and seen[1][1] > 0.95 * seen[1][0], seen
+
+
+def test_fertility_of_short_texts_and_few_documents(spark):
+    short = " ".join(f"{c}\U00012000" if c < "f" else c for c in "abcdefghijkl")
+    got = {r["doc_id"]: r for r in fertility.quality(spark.createDataFrame([(1, short, "en"), (2, "a b c d e f g h i j k l", None)], "doc_id long, text string, lang string"), BYTES, PIECES).collect()}
+    assert got[1]["fallback_share"] > 0.1 and not got[1]["base_failed"] and not got[1]["kept"] and got[2]["kept"]
+
+
 def test_packing(docs, none):
     tokenizer = Tokenizer.from_file(BYTES)
     plan = packing.Packing(chunk=8)
