@@ -49,8 +49,8 @@ def wrong_size(points: DataFrame, dim: int) -> DataFrame:
 def top_k(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine", most_queries: int = 50_000) -> DataFrame:
     """query_id, rank, id, score of each query's k best points, ties to the smaller id.
 
-    Queries (query_id, embedding) come in blocks of at most most_queries, each broadcast; a partition of points keeps k rows
-    a query of each batch, and only those are shuffled.
+    Queries (query_id, embedding) come in blocks of about most_queries, each broadcast; a partition of points keeps k rows
+    a query of each batch, and only those are shuffled.  A task scores a part of its block at a time.
     """
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     n = asked.count()
@@ -63,7 +63,7 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine",
     return whole.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _of_block(block: DataFrame, points: DataFrame, k: int, metric: str) -> DataFrame:
+def _of_block(block: DataFrame, points: DataFrame, k: int, metric: str, most_scores: int = 2_000_000) -> DataFrame:
     rows = block.collect()  # a block of queries, of bounded size
     ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
     shared = points.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -75,13 +75,16 @@ def _of_block(block: DataFrame, points: DataFrame, k: int, metric: str) -> DataF
                 continue
             own = batch.column(0).to_numpy()
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            scores = q @ v.T
-            if metric == "cosine":
-                scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                scores = np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
-            order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-            at = np.repeat(np.arange(len(q_ids)), order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(own[order.ravel()]), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", "id", "score"])
+            step = max(1, most_scores // len(own))
+            for lo in range(0, len(q), step):
+                some = q[lo : lo + step]
+                scores = some @ v.T
+                if metric == "cosine":
+                    scale = np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                    scores = np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
+                order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+                at = np.repeat(np.arange(lo, lo + len(some)), order.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(own[order.ravel()]), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", "id", "score"])
 
     narrow = points.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return narrow.mapInArrow(run, "query_id long, id long, score double")

@@ -1,4 +1,4 @@
-"""Queries of the vector jobs; embeddings play the points, their first 20 ids the queries."""
+"""Queries of the vector jobs; embeddings play the points, every twentieth id the queries."""
 
 from __future__ import annotations
 
@@ -25,12 +25,12 @@ def points(spark, sf_dir):
 
 
 def asked(spark, sf_dir):
-    return points(spark, sf_dir).filter("id < 20").select(F.col("id").alias("query_id"), "embedding")
+    return points(spark, sf_dir).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 def _top(score: str, where: str, k: int) -> str:
     return f"""SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT q.id AS query_id, p.id, {score} AS score, row_number() OVER (PARTITION BY q.id ORDER BY round({score}, 12) DESC, p.id) AS rank
-    FROM ({POINTS}) q JOIN ({POINTS}) p ON true WHERE q.id < 20 AND {where}) WHERE rank <= {k}"""
+    FROM ({POINTS}) q JOIN ({POINTS}) p ON true WHERE q.id % 20 = 0 AND {where}) WHERE rank <= {k}"""
 
 
 COSINE, DOT = "list_cosine_similarity(q.embedding, p.embedding)", "list_inner_product(q.embedding, p.embedding)"

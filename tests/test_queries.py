@@ -3,8 +3,10 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from lantern.operators import vectors
 from lantern.plans.catalog import ORACLES, QUERIES
 from tools.compare import TABLES, plain
 
@@ -32,3 +34,18 @@ def test_query(spark, db, name):
     assert sorted(columns) == sorted(wanted)
     order = sorted(columns)
     assert sorted(tuple(plain(r[columns.index(c)]) for c in order) for r in rows) == sorted(tuple(plain(r[wanted.index(c)]) for c in order) for r in want)
+
+
+def test_top_k_of_the_whole_query_set(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    asked = v[ids % 20 == 0]
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    for name, scores, k in (("top2_per_question_top_k", unit(asked) @ unit(v).T, 5), ("jn4_top_k_dot", asked @ v.T, 10)):
+        want = {(int(q), i + 1, int(ids[j])) for q, s in zip(ids[ids % 20 == 0], scores, strict=True) for i, j in enumerate(np.lexsort((ids, -np.round(s, 12)))[:k])}
+        assert {(r["query_id"], r["rank"], r["id"]) for r in QUERIES[name](spark, SF).collect()} == want
+    assert {r["query_id"] for r in QUERIES["jn16_agreement"](spark, SF).collect()} == set(ids[ids % 20 == 0].tolist()) == {r["query_id"] for r in QUERIES["jn3_filtered_top_k"](spark, SF).collect()}
+    points = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    q, p = points.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), points.withColumnRenamed("vec_id", "id")
+    found = lambda **how: sorted(tuple(r)[:3] for r in vectors.top_k(q, p, 5, **how).collect())
+    assert found(most_queries=3) == found()
