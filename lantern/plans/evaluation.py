@@ -78,7 +78,7 @@ def jn10(spark, d):
 
 
 _STEMS = "list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT list_contains(['и','в','во','на','с','со','к','ко','по','за','из','у','о','об','а','но','или','не','ни','ли','же','бы','то','это','как','что','где','когда'], w)), lambda w: (CASE WHEN rtrim(w, 'аеиоуыэюяйь') = '' THEN w ELSE rtrim(w, 'аеиоуыэюяйь') END)[:5]), lambda s: length(s) > 1))"
-_ARTICLES = "SELECT doc_id AS id, source || ' ' || text[:40] AS title, text[41:100] AS keywords, text[101:900] AS body FROM documents"
+_ARTICLES = "SELECT doc_id AS id, source || ' ' || text[:40] AS title, text[41:100] AS keywords, text[101:] AS body FROM documents"
 
 
 @query(
@@ -89,7 +89,7 @@ _ARTICLES = "SELECT doc_id AS id, source || ' ' || text[:40] AS title, text[41:1
 )
 def jn5(spark, d):
     docs = table(spark, d, "documents")
-    articles = docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", F.substring("text", 1, 40)).alias("title"), F.substring("text", 41, 60).alias("keywords"), F.substring("text", 101, 800).alias("text"))
+    articles = docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", F.substring("text", 1, 40)).alias("title"), F.substring("text", 41, 60).alias("keywords"), F.expr("substring(text, 101)").alias("text"))
     asked = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
     return ev.lexical(asked, articles, texts.terms)
 

@@ -49,3 +49,11 @@ def test_top_k_of_the_whole_query_set(spark):
     q, p = points.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), points.withColumnRenamed("vec_id", "id")
     found = lambda **how: sorted(tuple(r)[:3] for r in vectors.top_k(q, p, 5, **how).collect())
     assert found(most_queries=3) == found()
+
+
+def test_lexical_search_reads_whole_texts(spark, tmp_path):
+    head = "".join(f"filler{i} " for i in range(600))
+    docs = [(1, head + "zebra quartz", "src"), (2, head + "walnut", "src"), (3, "zebra", "src"), (4, head + "quartz " + head + "zebra walnut", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, 0, "Zebra, quartz?"), (9, 1, "walnut quartz")], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(tuple(r) for r in QUERIES["jn5_lexical_search"](spark, str(tmp_path)).select("question_id", "rank", "id", "score").collect()) == [(9, 1, 3, 3), (9, 2, 1, 2), (9, 3, 4, 2)]
