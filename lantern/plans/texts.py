@@ -96,12 +96,12 @@ def fn13(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", texts.cache_key(F.lit("trigram"), F.col("lang"), F.col("source")).alias("key"))
 
 
-_ANSWER = "text[:200] || ' [' || (doc_id % 9) || ', ' || (doc_id % 4) || '] [' || (doc_id % 6 + 1) || '] .'"
+_ANSWER = "text || ' [' || (doc_id % 9) || ', ' || (doc_id % 4) || '] [' || (doc_id % 6 + 1) || '] .'"
 
 
 def _answers(spark, sf_dir):
     n = lambda e: F.expr(f"cast({e} as string)")
-    return _docs(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" ["), n("doc_id % 9"), F.lit(", "), n("doc_id % 4"), F.lit("] ["), n("doc_id % 6 + 1"), F.lit("] .")).alias("answer"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" ["), n("doc_id % 9"), F.lit(", "), n("doc_id % 4"), F.lit("] ["), n("doc_id % 6 + 1"), F.lit("] .")).alias("answer"))
 
 
 @query("fn14_citations", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([doc_id % 9, doc_id % 4, doc_id % 6 + 1], lambda x: x BETWEEN 1 AND 5))), ',') AS cited FROM documents")
@@ -109,7 +109,7 @@ def fn14(spark, sf_dir):
     return _answers(spark, sf_dir).select("doc_id", F.array_join(F.transform(texts.cited(F.col("answer"), F.lit(5)), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query("fn15_without_citations", "SELECT doc_id, trim(regexp_replace(text[:200] || '.', '[ \\t]+([.,;:!?])', '\\1', 'g'), E' \\n\\t\\r') AS plain FROM documents")
+@query("fn15_without_citations", "SELECT doc_id, trim(regexp_replace(text || '.', '[ \\t]+([.,;:!?])', '\\1', 'g'), E' \\n\\t\\r') AS plain FROM documents")
 def fn15(spark, sf_dir):
     return _answers(spark, sf_dir).select("doc_id", texts.without_citations(F.col("answer")).alias("plain"))
 

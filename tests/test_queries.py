@@ -57,3 +57,10 @@ def test_lexical_search_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(9, 0, "Zebra, quartz?"), (9, 1, "walnut quartz")], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert sorted(tuple(r) for r in QUERIES["jn5_lexical_search"](spark, str(tmp_path)).select("question_id", "rank", "id", "score").collect()) == [(9, 1, 3, 3), (9, 2, 1, 2), (9, 3, 4, 2)]
+
+
+def test_citations_in_whole_answers(spark, tmp_path):
+    head = "word " * 400
+    spark.createDataFrame([(6, head + "late [3, 4] , end")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in QUERIES["fn14_citations"](spark, str(tmp_path)).collect()] == [(6, "1,2,3,4")]
+    assert [tuple(r) for r in QUERIES["fn15_without_citations"](spark, str(tmp_path)).collect()] == [(6, head + "late, end.")]
