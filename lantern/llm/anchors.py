@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import set_aside
 from .texts import MIX1, Words, blocks, mix, text_column, windows
 
 #: A perfect difference set; every remainder modulo 31 is a difference of two of its members.
@@ -267,8 +268,9 @@ def digests(df: DataFrame, plan: Anchoring = Anchoring()) -> DataFrame:
 def without_repeats(df: DataFrame, plan: Anchoring = Anchoring()) -> DataFrame:
     """All rows and columns of df; a text that loses words becomes its kept words joined by one space, others stay as they are.
 
-    n_chars, where there is such a column, follows the text.
+    n_chars, where there is such a column, follows the text; others are kept as they are, whatever their names.
     """
+    df, back = set_aside(df, "doc_id", "text", "n_chars")
     names, at = list(df.columns), df.columns.index("text")
 
     def make(rows: pa.RecordBatch, found: dict) -> pa.RecordBatch:
@@ -278,4 +280,4 @@ def without_repeats(df: DataFrame, plan: Anchoring = Anchoring()) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     out = _kept(df, plan, df.schema, make)
-    return out.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
+    return back(out.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out)

@@ -15,7 +15,8 @@ smallest hashes); every whole text is scored.
 
 Defined results: null and empty texts have no windows and get the score of a text without any; without labels of
 both kinds every score is 0; a null id isn't held out; label rows of one id count as toxic if any of them is; other
-columns aren't looked at.
+columns aren't looked at: `not_toxic` keeps them whatever their names, `scored` puts its own in place of a `score` or
+`predicted` of the caller's.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import set_aside
 from .texts import Words, blocks, text_column
 
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|/\\-_=+~^`@0123456789"
@@ -217,6 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) ->
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
-    """The rows of docs that aren't predicted to be toxic."""
+    """The rows of docs that aren't predicted to be toxic, with all their columns."""
     model = fit(sample(docs, labels, how), how)
-    return scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    docs, back = set_aside(docs, "doc_id", "text")
+    return back(scored(docs, model).filter("predicted = 0"))

@@ -17,7 +17,8 @@ bytes, and meet that and the base rules.
 Base rules: at least 10 words, and at most a fifth of them in 5-word windows that the text repeats.
 
 Defined results: a null or empty text has no words and fails the base rules; the script of a text without letters
-is "none", which has the widest band; other columns aren't looked at.
+is "none", which has the widest band; repeated rows are judged alike; of other columns only `lang` is read, and all are
+kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import codec, shared_file
-from .groups import shared_folder
+from .groups import set_aside, shared_folder
 from .texts import Words, blocks, mix, text_column, windows
 
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "cjk", "hangul")
@@ -292,5 +293,6 @@ def quality(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules
 
 
 def good(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules = Rules()) -> DataFrame:
-    """The rows of df that pass."""
-    return judged(df, byte_vocabulary, piece_model, rules).filter("__q.kept").select(*df.columns)
+    """The rows of df that pass, with all their columns."""
+    df, back = set_aside(df, "doc_id", "text", "lang")
+    return back(judged(df, byte_vocabulary, piece_model, rules).filter("__q.kept"))

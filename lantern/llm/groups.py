@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with every column but the `used` ones under a neutral name, and the step that gives all of them their names back (and adds the columns that it is given).
+
+    Between the two an operator may add columns of any name: no column of the caller's is met or replaced.
+    """
+    inner = [c if c in used else f"aside{i}" for i, c in enumerate(df.columns)]
+
+    def back(out: DataFrame, *more: Column) -> DataFrame:
+        return out.select(*(F.col(i).alias(c) for i, c in zip(inner, df.columns, strict=True)), *more)
+
+    return df.toDF(*inner), back
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Of batches sorted by key: batches that hold whole groups, and the groups' bounds in each."""
     carried: list[pa.RecordBatch] = []

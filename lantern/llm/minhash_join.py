@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .groups import components, durable, whole_groups
+from .groups import components, durable, set_aside, whole_groups
 from .texts import Words, blocks, mix, text_column, windows
 
 
@@ -302,11 +302,12 @@ def similarity_classes(df: DataFrame, plan: Join = Join()) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, plan: Join = Join()) -> DataFrame:
-    """The rows of df, one for each class: that of the smallest id; rows without words all stay."""
+    """The rows of df, one for each class: that of the smallest id; rows without words all stay, and columns of any name are kept as they are."""
+    df, back = set_aside(df, "doc_id", "text")
     rows = durable(_labelled(df, plan))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f")
     chosen = rows.filter("class IS NOT NULL").groupBy("class").agg(first).select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"))
     docs = df.withColumn("th", F.xxhash64("text"))
     kept = docs.join(chosen, (docs["th"] == chosen["th"]) & docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").dropDuplicates(["doc_id", "th"])
     wordless = docs.filter(F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return kept.unionByName(wordless).select(*df.columns)
+    return back(kept.unionByName(wordless))

@@ -6,11 +6,13 @@ has a fixed number of rows, so it is broadcast, and a document's shard is one lo
 removing a shard moves few other keys.
 
 Rows of one key go to one slot, but a key with more than a share of 1 / (parts_per_shard x shards) of all rows is
-cut into numbered parts of that size, each with a slot of its own; there are at most parts_per_shard x shards such
-keys, so the list of them is broadcast too.
+cut into numbered parts, each with a slot of its own; there are at most parts_per_shard x shards such keys, so the
+list of them is broadcast too.  The part of a row is a hash of all its columns, plus the row's rank among equal rows,
+modulo the number of parts: the same rows give the same placement, however they are partitioned and read again.
 
 Defined results: a null id is keyed by its text, null text and null id by nothing; repeated rows of a key that isn't
-cut share its shard; an empty table gives no rows; other columns aren't looked at.
+cut share its shard, those of a key that is cut are spread evenly over its parts; an empty table gives no rows; other
+columns keep their names and values, so a placement column whose name is taken is called `placed_` and that name.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import set_aside
+
 SLOTS = 65537
 
 
@@ -54,24 +58,48 @@ def _slot(key: Column, part: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(key, part), F.lit(slots)).cast("int")
 
 
+def _ranked(rows: DataFrame, block: int = 10_000) -> DataFrame:
+    """rows with __rank, a number from 0 on within rows that are equal in every column.
+
+    Equal rows are counted and made again from their number, in blocks that are spread before they are unfolded, so
+    that no task holds or numbers all copies of one row.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    blocks = counted.withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(block).cast("long"))))
+    last = F.least(F.col("__first") + block, F.col("__copies")) - 1
+    spread = blocks.repartition("__first", "doc_id", "text")
+    return spread.withColumn("__rank", F.explode(F.sequence(F.col("__first"), last))).drop("__copies", "__first")
+
+
+def _names(columns: Sequence[str]) -> list[str]:
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("part", "slot", "shard"):
+        while name in taken:
+            name = f"placed_{name}"
+        out.append(name)
+    return out
+
+
 def placed(df: DataFrame, shards: Sequence[str], slots: int = SLOTS, weights: Sequence[int] | None = None, parts_per_shard: int = 8) -> DataFrame:
     """The rows of df (doc_id, text and any others) with part, slot and shard."""
-    spark = df.sparkSession
+    spark, names = df.sparkSession, _names(df.columns)
     table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(filled(shards, slots, weights))], "__slot int, __shard string")
+    df, back = set_aside(df, "doc_id", "text")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string")))
     keyed = df.withColumn("__key", key)
     sizes = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-    most = max(1, df.count() // (parts_per_shard * len(shards)))
-    # at most parts_per_shard x shards (+ rounding) keys have more rows than that
-    hot = sizes.filter(F.col("__n") > F.lit(max(most, 1000))).select("__key", F.ceil(F.col("__n") / most).alias("__parts"))
-    # the texts of a hot key deal its rows out; where they are equal too, the row's place in the table does
-    spread = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.coalesce("__parts", F.lit(1).cast("long"))).cast("int")
-    cut = keyed.join(F.broadcast(hot), "__key", "left").withColumn("__part", spread)
-    found = cut.withColumn("__slot", _slot(F.col("__key"), F.col("__part"), slots)).join(F.broadcast(table), "__slot", "left")
-    plain = [c for c in df.columns if c not in ("part", "slot", "shard")]
-    return found.select(*plain, F.col("__part").alias("part"), F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
-
-
-def write_shards(df: DataFrame, path: str) -> None:
+    most = max(1, -(-df.count() // (parts_per_shard * len(shards))))
+    # fewer than parts_per_shard x shards keys have more rows than that
+    hot = F.broadcast(sizes.filter(F.col("__n") > most).select(F.col("__key").alias("__hot"), F.ceil(F.col("__n") / most).alias("__parts")))
+    is_hot = F.col("__key").eqNullSafe(F.col("__hot"))
+    content = F.xxhash64("text", F.to_json(F.struct(*(c for c in df.columns if c != "text"))))
+    cold = keyed.join(hot, is_hot, "left_anti").withColumn("__part", F.lit(0))
+    cut = _ranked(keyed.join(hot, is_hot, "left_semi")).join(hot, is_hot).withColumn("__part", F.pmod(F.pmod(content, "__parts") + F.col("__rank"), F.col("__parts")).cast("int"))
+    parts = cold.unionByName(cut.select(*cold.columns))
+    found = parts.withColumn("__slot", _slot(F.col("__key"), F.col("__part"), slots)).join(F.broadcast(table), "__slot", "left")
+    return back(found, *(F.col(f"__{k}").alias(n) for k, n in zip(("part", "slot", "shard"), names, strict=True)))
+
+
+def write_shards(df: DataFrame, path: str, slot: str = "slot", shard: str = "shard") -> None:
     """The placed rows as one folder for each shard; a shard's rows come from several tasks."""
-    df.repartition("shard", "slot").write.partitionBy("shard").parquet(path)
+    df.repartition(shard, slot).write.partitionBy(shard).parquet(path)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -211,13 +212,74 @@ def test_placement(spark, docs, none):
     assert abs(heavy[0] - 3 * heavy[1]) <= 3
     with pytest.raises(ValueError):
         placement.filled(shards, 100)
-    got = placement.placed(docs.select("doc_id", "text"), shards, 101)
+    got = placement.placed(docs.select("doc_id", "text"), shards, 101, parts_per_shard=1)
     assert got.count() == len(rows()) and all(r["shard"] == shards[table[r["slot"]]] for r in got.collect())
     assert len({r["slot"] for r in got.filter("doc_id = 5").collect()}) == 1
     assert placement.placed(none, shards, 101).count() == 0
-    hot = spark.range(40000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS doc_id", "cast(id AS string) AS text")
-    spread = placement.placed(hot, shards, 101).filter("doc_id = 7")
-    assert spread.count() == 20000 and spread.select("part").distinct().count() > 10
+
+
+def test_placement_table():
+    shards, n = ["a", "b", "c"], 13
+    order = {}
+    for i, s in enumerate(shards):
+        offset, step = xxhash.xxh3_64_intdigest(s, seed=1) % n, xxhash.xxh3_64_intdigest(s, seed=2) % (n - 1) + 1
+        order[i] = [(offset + k * step) % n for k in range(n)]
+        assert sorted(order[i]) == list(range(n))
+    want, turn = {}, 0
+    while len(want) < n:
+        want[next(s for s in order[turn % 3] if s not in want)] = turn % 3
+        turn += 1
+    assert placement.filled(shards, n) == [want[i] for i in range(n)]
+
+
+def test_placement_of_a_hot_key(spark):
+    """The same rows get the same places however they are partitioned; equal rows are spread evenly."""
+    shards = [f"s{i}" for i in range(7)]
+    hot = spark.range(20000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id + 100000 END AS doc_id", "CASE WHEN id % 4 = 0 THEN 'copy' ELSE cast(id AS string) END AS text", "'mine' AS Part", "id % 3 AS slot", "5 AS shard")
+    hot = hot.withColumn("slot", F.when(F.col("text") == "copy", 0).otherwise(F.col("slot")))
+    seen = [Counter(map(tuple, placement.placed(hot.repartition(k), shards, 101).collect())) for k in (2, 5)]
+    assert seen[0] == seen[1]
+    got = placement.placed(hot, shards, 101)
+    assert got.columns == ["doc_id", "text", "Part", "slot", "shard", "placed_part", "placed_slot", "placed_shard"]
+    assert collected(got.select(*hot.columns)) == collected(hot)
+    table = placement.filled(shards, 101)
+    assert all(r["placed_shard"] == shards[table[r["placed_slot"]]] for r in got.collect())
+    assert got.filter("doc_id <> 7 AND placed_part <> 0").count() == 0
+    copies = Counter(r["placed_part"] for r in got.filter("text = 'copy'").collect())
+    assert len(copies) == 28 and max(copies.values()) - min(copies.values()) <= 1
+    sizes = Counter(r["placed_part"] for r in got.filter("doc_id = 7").collect())
+    assert max(sizes.values()) < 1.3 * 10000 / 28
+
+
+NAMES = ["th", "TH2", "score", "predicted", "__m", "__q", "__b", "__id", "__th", "__runs", "__copy", "fp", "class", "part", "slot", "shard", "__key", "__part", "uid", "aside0", "__lang", "__script", "__length"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with columns of the operators' own names, of values that are theirs alone."""
+    base = spark.createDataFrame([(*r[:5],) for r in rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    return base.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in NAMES})
+
+
+@pytest.mark.parametrize("kept", [
+    lambda d: minhash_join.one_of_each(d), lambda d: fertility.good(d, BYTES, PIECES), lambda d: anchors.without_repeats(d),
+    lambda d: compression.not_toxic(d, d.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))), lambda d: placement.placed(d, ["a", "b"], 101),
+])
+def test_columns_of_the_caller_stay(clashing, kept):
+    out = kept(clashing)
+    assert out.columns[: len(clashing.columns)] == clashing.columns
+    found = out.collect()
+    assert found and all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in found for c in NAMES)
+    assert {(r["doc_id"], r["lang"], r["source"]) for r in found} <= {(r[0], r[2], r[3]) for r in rows()}
+
+
+@pytest.mark.parametrize("found", [
+    lambda d: minhash_join.similarity_classes(d), lambda d: fertility.quality(d, BYTES, PIECES), lambda d: anchors.digests(d), lambda d: byte_pairs.digests(d, BYTES),
+    lambda d: packing.packed(d, BYTES, packing.Packing(chunk=8)).drop("sequence_id", "offset"), lambda d: licenses.scanned(d),
+    lambda d: compression.toxicity(d, d.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))),
+])
+def test_columns_of_the_caller_change_nothing(clashing, found):
+    assert collected(found(clashing)) == collected(found(clashing.select("doc_id", "text", "lang", "source", "n_chars")))
 
 
 def test_licenses(docs, none):
