@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,18 +140,42 @@ def lexical(questions: DataFrame, articles: DataFrame, terms_of, least: int = 2,
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("question_id", "rank", "id", "score")
 
 
-def attributed(contexts: DataFrame, docs: DataFrame, n: int = 4) -> DataFrame:
-    """context_id, doc_id where the document's text holds the context's: found by the context's first n words, then checked.
+def attributed(contexts: DataFrame, docs: DataFrame) -> DataFrame:
+    """context_id, doc_id where the document's text holds the context's or the context's text holds the document's.
 
-    Words are runs without white space; a context must start at a word.  No context meets a document without that run.
+    Lines of a context that only mark a hop (`<1-hop>`) aren't part of it; an empty context or text holds nothing.
     """
-    split = lambda c: F.split(F.trim(c), r"\s+")
-    key = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(n)))
-    c = contexts.withColumn("w", split(F.col("context"))).filter(F.size("w") >= n).select("context_id", "context", key(F.col("w"), F.lit(0)).alias("k"))
-    runs = F.transform(F.array(split(F.col("text"))), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: key(w, i))))[0]
-    d = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("k"))
-    met = d.join(c.select("context_id", "k"), "k").select("doc_id", "context_id").distinct()
-    return met.join(c.select("context_id", "context"), "context_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("context"))).select("context_id", "doc_id")
+    lines = F.filter(F.split("context", r"\r\n|[\n\r]"), lambda x: ~(F.startswith(x, F.lit("<")) & F.endswith(x, F.lit("-hop>"))))
+    c = contexts.select("context_id", F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "").alias("context")).filter("context <> ''").distinct()
+    d = docs.select("doc_id", "text").filter("text <> ''").distinct()
+    inner = _held(c.select(F.col("context_id").alias("a"), F.col("context").alias("needle")), d.select(F.col("doc_id").alias("b"), F.col("text").alias("hay")))
+    outer = _held(d.select(F.col("doc_id").alias("a"), F.col("text").alias("needle")), c.select(F.col("context_id").alias("b"), F.col("context").alias("hay")))
+    return inner.select(F.col("a").alias("context_id"), F.col("b").alias("doc_id")).unionByName(outer.select(F.col("b").alias("context_id"), F.col("a").alias("doc_id"))).distinct()
+
+
+def _held(needles: DataFrame, hays: DataFrame, most: int = 4, probe: int = 16) -> DataFrame:
+    """a, b where hay b holds needle a.
+
+    The words of a needle between its first and its last stand whole in what holds it, so the two meet on a run of up
+    to `most` of these.  A needle of fewer than three words meets on its first `probe` characters, or on all of them;
+    only where there are such needles are runs of characters made.  What met is compared whole.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    run = lambda w, i, n: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
+    shape = needles.withColumn("w", words(F.col("needle"))).withColumn("inner", F.least(F.size("w") - 2, F.lit(most)))
+    # size: a number of words, or the negative of a number of characters
+    size = F.when(F.col("inner") > 0, F.col("inner")).otherwise(-F.least(F.char_length("needle"), F.lit(probe)))
+    k = F.when(F.col("inner") > 0, run(F.col("w"), F.lit(2), F.greatest("inner", F.lit(1)))).otherwise(F.xxhash64(F.substring("needle", 1, probe)))
+    n = shape.select("a", size.alias("size"), k.alias("k"))
+    sizes = n.agg(F.collect_set("size").alias("sizes"))  # one row of at most most + probe numbers
+    places = lambda w, width: F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - width + 1))
+    of_words = F.transform(places(F.col("w"), F.col("size")), lambda i: run(F.col("w"), i, F.col("size")))
+    of_signs = F.transform(places(F.col("w"), -F.col("size")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, -F.col("size")), "")))
+    each = hays.crossJoin(F.broadcast(sizes)).select("b", "hay", F.explode("sizes").alias("size"))
+    split = each.withColumn("w", F.when(F.col("size") > 0, words(F.col("hay"))).otherwise(F.split("hay", "")))
+    runs = split.select("b", "size", F.explode(F.array_distinct(F.when(F.col("size") > 0, of_words).otherwise(of_signs))).alias("k"))
+    met = runs.join(n, ["k", "size"]).select("a", "b").distinct()
+    return met.join(needles, "a").join(hays, "b").filter(F.contains("hay", F.col("needle"))).select("a", "b").distinct()
 
 
 def best_overlap(answers: DataFrame, chunks: DataFrame, least: float = 0.3) -> DataFrame:
@@ -161,22 +186,35 @@ def best_overlap(answers: DataFrame, chunks: DataFrame, least: float = 0.3) -> D
     return shares.groupBy("answer_id").agg(F.max_by("number", F.struct("share", -F.col("number"))).alias("number"), F.max("share").alias("share")).filter(F.col("share") >= least).select("answer_id", "number")
 
 
-def last_beneath(spans: DataFrame, top_kind: str, kind: str, most_depth: int = 32) -> DataFrame:
+def last_beneath(spans: DataFrame, top_kind: str, kind: str) -> DataFrame:
     """trace_id, top, last: under each span of top_kind, the span of `kind` that starts last (null: none).
 
-    Spans are walked level by level within their traces; a level is one join, and a cycle ends at most_depth.
+    Each span keeps one ancestor and the best span found between the two; a round doubles the distance, so a trace of
+    any depth takes as many rounds as its depth has binary digits, each over one row for a span.  A cycle ends once the
+    distance covers the largest trace; a span in it is beneath itself.
     """
-    at = spans.filter(F.col("span_kind") == top_kind).select("trace_id", F.col("span_id").alias("top"), "span_id")
-    reached, narrow = at, spans.select("trace_id", F.col("parent_id").alias("span_id"), F.col("span_id").alias("child"))
-    for _ in range(most_depth):
-        at = at.join(narrow, ["trace_id", "span_id"]).select("trace_id", "top", F.col("child").alias("span_id"))
-        if at.isEmpty():
-            break
-        reached = reached.unionByName(at)
-    found = reached.join(spans.filter(F.col("span_kind") == kind).select("trace_id", "span_id", "start_time"), ["trace_id", "span_id"], "left")
-    found = found.filter(F.col("span_id") != F.col("top")).groupBy("trace_id", "top").agg(F.max_by("span_id", F.when(F.col("start_time").isNotNull(), F.struct("start_time", "span_id"))).alias("last"))
+    own = F.when((F.col("span_kind") == kind) & F.col("start_time").isNotNull(), F.struct("start_time", "span_id"))
+    nodes = spans.filter("span_id IS NOT NULL").select("trace_id", "span_id", F.col("parent_id").alias("up"), own.alias("own"))
+    below = nodes.filter("up IS NOT NULL").groupBy("trace_id", F.col("up").alias("span_id")).agg(F.max("own").alias("best"))
+    state = _cut(nodes.drop("own").distinct().join(below, ["trace_id", "span_id"], "left"))
+    most, reach = state.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0, 1
+    while reach < most and not state.filter("up IS NOT NULL").isEmpty():
+        more = state.filter("up IS NOT NULL AND best IS NOT NULL").groupBy("trace_id", F.col("up").alias("span_id")).agg(F.max("best").alias("more"))
+        jump = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("further")).distinct()
+        wider = state.join(more, ["trace_id", "span_id"], "left").join(jump, ["trace_id", "up"], "left")
+        state = _cut(wider.select("trace_id", "span_id", F.col("further").alias("up"), F.greatest("best", "more").alias("best")).distinct())
+        reach *= 2
+    found = state.groupBy("trace_id", F.col("span_id").alias("top")).agg(F.max("best").alias("best"))
     tops = spans.filter(F.col("span_kind") == top_kind).select("trace_id", F.col("span_id").alias("top"))
-    return tops.join(found, ["trace_id", "top"], "left")
+    return tops.join(found, ["trace_id", "top"], "left").select("trace_id", "top", F.col("best.span_id").alias("last"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df with a short lineage, in the folder of spark.checkpoint.dir; kept in memory and on disk where none is set."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def reviewed(raw: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def agg12(spark, d):
     return first.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce((F.col("first") <= 5).cast("double"), F.lit(0.0))), 4).alias("hit"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
 
 
-@query("jn10_source_attribution", "SELECT item_id AS context_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query("jn10_source_attribution", "SELECT item_id AS context_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) OR contains(b.text, d.text)")
 def jn10(spark, d):
     return ev.attributed(table(spark, d, "benchmark").select(F.col("item_id").alias("context_id"), F.col("text").alias("context")), table(spark, d, "documents"))
 
@@ -255,7 +255,7 @@ def win9(spark, d):
 def jn17(spark, d):
     kind = F.when(F.col("l_linenumber") == 1, "answer").when(F.col("l_partkey") % 3 == 0, "llm").otherwise("tool")
     spans = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").alias("span_id"), F.expr("cast(l_linenumber div 2 as int)").alias("parent_id"), kind.alias("span_kind"), F.col("l_shipdate").alias("start_time"))
-    return ev.last_beneath(spans, "answer", "llm", 8)
+    return ev.last_beneath(spans, "answer", "llm")
 
 
 @query(

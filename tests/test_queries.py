@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lantern.operators import vectors
+from lantern.operators import evaluation, vectors
 from lantern.plans.catalog import ORACLES, QUERIES
 from tools.compare import TABLES, plain
 
@@ -64,3 +64,22 @@ def test_citations_in_whole_answers(spark, tmp_path):
     spark.createDataFrame([(6, head + "late [3, 4] , end")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in QUERIES["fn14_citations"](spark, str(tmp_path)).collect()] == [(6, "1,2,3,4")]
     assert [tuple(r) for r in QUERIES["fn15_without_citations"](spark, str(tmp_path)).collect()] == [(6, head + "late, end.")]
+
+
+def test_attribution_against_brute_force(spark):
+    texts = ["", "a", "ab", "a b c d", "x a b c d y", "refund policy", "the refund policy of today", "efund poli", "long  text\nwith lines", "so long  text\nwith lines here", " a b", "b c", "日本語", "これは日本語です", "one two three four five six seven", "two three four five six", "wo three four five si"]
+    contexts = [(i, t) for i, t in enumerate(texts)] + [(90, "<1-hop>\n\nrefund policy"), (91, "<2-hop>"), (92, None), (5, "refund policy")]
+    docs = [(100 + i, t) for i, t in enumerate(texts)] + [(190, None), (105, texts[5])]
+    clean = lambda t: "\n".join(x for x in (t or "").splitlines() if not (x.startswith("<") and x.endswith("-hop>"))).strip()
+    want = {(c, d) for c, x in contexts for d, y in docs if clean(x) and y and (clean(x) in y or y in clean(x))}
+    got = [tuple(r) for r in evaluation.attributed(spark.createDataFrame(contexts, "context_id long, context string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    one = spark.createDataFrame(docs, "doc_id long, text string")
+    assert evaluation.attributed(spark.createDataFrame([], "context_id long, context string"), one).count() == 0
+
+
+def test_last_beneath_of_deep_traces_and_cycles(spark):
+    deep = [(1, i, i - 1 if i > 1 else None, "answer" if i in (1, 30) else "llm" if i == 70 else "tool", i) for i in range(1, 71)]
+    ring = [(2, 1, 3, "answer", 1), (2, 2, 1, "llm", 5), (2, 3, 2, "llm", 4), (3, 1, None, "answer", 1)]
+    got = evaluation.last_beneath(spark.createDataFrame(deep + ring, "trace_id long, span_id long, parent_id long, span_kind string, start_time long"), "answer", "llm")
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 70), (1, 30, 70), (2, 1, 2), (3, 1, None)}
