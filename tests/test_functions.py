@@ -1,3 +1,5 @@
+import base64
+import random
 import re
 
 import pytest
@@ -98,3 +100,17 @@ def test_readers(spark, tmp_path):
     html = "<title>t</title><body><nav>n</nav><article><h1>H</h1><p>one</p><p>two</p></article><footer>f</footer></body>"
     got = spark.createDataFrame([(html,), ("<p>plain",), (None,)], "h string").select(corpus.page("h").alias("p")).select("p.*").collect()
     assert (got[0]["title"], got[0]["text"]) == ("H", "H\none\ntwo") and got[2]["text"] == ""
+
+
+def test_payloads_by_the_decoders_of_python(spark):
+    """Tokens of readable text are found in every encoding, others aren't."""
+    r = random.Random(5)
+    ways = (base64.b64encode, base64.urlsafe_b64encode, base64.b32encode, lambda x: x.hex().encode())
+    bare = [("".join(r.choices("abcde дежз", k=r.randint(6, 30))) + "xyz").encode() for _ in range(200)]
+    noise = [b"\xff" + r.randbytes(12) for _ in range(200)]
+    coded = lambda raw: [f"see {way(x).decode()} there" for x in raw for way in ways]
+    assert all(values(spark, safety.has_payload, coded(bare)))
+    assert not any(values(spark, safety.has_payload, [*coded(noise), "12345678901234567890", "eyJhbGciOi.eyJzdWIiOiI.YWJjZGVmZ2hp", "plain words", "", None]))
+    assert values(spark, lambda c: safety.from_base32(c).cast("string"), ["NBSWY3DP", "NBSWY3DPEB3W64TMMQ", "A", "nope"]) == ["hello", "hello world", None, None]
+    assert values(spark, safety.visible, ["a\u200bb", "\ufb01ne", None, "x\ty"]) == ["ab", "fine", None, "x\ty"]
+    assert values(spark, safety.has_hidden, ["a\u200bb", "tag\U000e0041", "plain text with one \u200b hidden", None, ""]) == [True, True, False, False, False]
