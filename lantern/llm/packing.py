@@ -8,6 +8,11 @@ best-filled bins of one parent into the other, drops the bins that held the same
 displaced ones.  Between rounds each island's elite moves to the next island of its chunk through a join.  A chunk whose
 elite reaches the lower bound (tokens over capacity, rounded up) stops there.
 
+A chunk packed alone wastes the room of its last sequences.  So of every chunk only the fuller bins are settled; the
+`open_bins` least filled ones of `merge` chunks become one chunk of the next level, whose islands start from these
+bins as well as from best fits of their documents, and so on until one chunk is left.  The number of sequences never
+grows from level to level, and a chunk of any level holds at most merge x open_bins bins.
+
 Defined results: null text as the empty text, which is the end id alone; repeated rows are packed as often as they
 occur; an empty table gives no rows; other columns aren't looked at.
 """
@@ -32,11 +37,13 @@ from .texts import blocks, text_column
 class Packing:
     capacity: int = 1024
     end_id: int = 2
-    chunk: int = 2048  # documents, about, that are packed together
+    chunk: int = 8192  # documents, about, that are packed together
     islands: int = 3
     population: int = 6
     generations: int = 12
     rounds: int = 3
+    open_bins: int = 32  # of each chunk, packed again with those of other chunks
+    merge: int = 64  # chunks that become one
     seed: int = 11
 
 
@@ -132,8 +139,9 @@ class Chunk:
         return self.best_fit(child, loose[np.argsort(-self.lengths[loose], kind="stable")])
 
     def evolved(self, population: list[np.ndarray], size: int, generations: int) -> list[np.ndarray]:
+        given = len(population)
         while len(population) < size:
-            population.append(self.fresh(0.0 if not population else 0.05 * len(population)))
+            population.append(self.fresh(0.05 * (len(population) - given)))
             if self.cost(population[-1])[0] <= self.bound:
                 return [population[-1]]
         population.sort(key=self.cost)
@@ -149,11 +157,11 @@ class Chunk:
 
 
 def _evolve(state: DataFrame, plan: Packing, number: int) -> DataFrame:
-    """chunk, island, uids, lengths, population, bins (of the elite); a row of state is an island."""
+    """chunk, island, uids, lengths, population, bins (of the elite); a row of state is an island, homes its documents' bins so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunk, island, uids, lengths, population, elite = (batch.column(i) for i in range(6))
+            chunk, island, uids, lengths, homes, population, elite = (batch.column(i) for i in range(7))
             new, bins = [], []
             for r in range(batch.num_rows):
                 sizes = lengths[r].values.to_numpy(zero_copy_only=False)
@@ -163,49 +171,78 @@ def _evolve(state: DataFrame, plan: Packing, number: int) -> DataFrame:
                 guest = elite[r].as_py()
                 if guest is not None:
                     old = [*old[: plan.population - 1], np.frombuffer(guest, np.int32).astype(np.int64)]
+                elif not old and homes[r].is_valid:
+                    old = [np.unique(homes[r].values.to_numpy(zero_copy_only=False), return_inverse=True)[1]]
                 best = own.evolved(old, plan.population, plan.generations)
                 new.append([p.astype(np.int32).tobytes() for p in best])
                 bins.append(own.cost(best[0])[0])
             yield pa.RecordBatch.from_arrays([chunk, island, uids, lengths, pa.array(new, pa.list_(pa.binary())), pa.array(bins, pa.int64())], names=["chunk", "island", "uids", "lengths", "population", "bins"])
 
-    return state.select("chunk", "island", "uids", "lengths", "population", "elite").mapInArrow(run, "chunk long, island int, uids array<long>, lengths array<long>, population array<binary>, bins long")
+    columns = ["chunk", "island", "uids", "lengths", "homes", "population", "elite"]
+    return state.select(*columns).mapInArrow(run, "chunk long, island int, uids array<long>, lengths array<long>, population array<binary>, bins long")
+
+
+def _bred(items: DataFrame, plan: Packing, level: int) -> DataFrame:
+    """chunk, uids, lengths, bins: the best packing of each chunk's items (chunk, uid, length, home) over all islands and rounds."""
+    # a chunk has about plan.chunk items or those of merge x open_bins bins, whatever the size of the table
+    gathered = items.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("uid", "length", "home"))).alias("i"))
+    homes = F.when(F.exists("i", lambda x: x["home"].isNotNull()), F.col("i.home")).alias("homes")
+    start = gathered.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(plan.islands - 1))).alias("island"), F.col("i.uid").alias("uids"), F.col("i.length").alias("lengths"), homes)
+    state = start.withColumns({"population": F.lit(None).cast("array<binary>"), "elite": F.lit(None).cast("binary")}).repartition("chunk", "island")
+    for number in range(plan.rounds):
+        state = durable(_evolve(state, plan, 1000 * level + number))
+        if number + 1 < plan.rounds:
+            state = migrated(state, plan).withColumn("homes", F.lit(None).cast("array<long>"))
+    best = state.groupBy("chunk").agg(F.min_by(F.struct("uids", "lengths", F.col("population")[0].alias("bins")), F.struct("bins", "island")).alias("b"))
+    return best.select("chunk", "b.uids", "b.lengths", "b.bins")
+
 
+def migrated(state: DataFrame, plan: Packing) -> DataFrame:
+    """state with the elite of each chunk's island before, the last one's for the first."""
+    elites = state.select("chunk", ((F.col("island") + 1) % plan.islands).alias("island"), F.col("population")[0].alias("elite"))
+    return state.join(elites, ["chunk", "island"])
 
-def _placed(best: DataFrame) -> DataFrame:
-    """uid, sequence_id, offset from each chunk's best packing."""
+
+def _placed(best: DataFrame, plan: Packing, level: int, open_bins: int) -> DataFrame:
+    """uid, length, chunk, sequence_id, offset, open (in one of the chunk's open_bins least filled bins) from each chunk's best packing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 uids, lengths = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in (1, 2))
-                bins = np.frombuffer(batch.column(3)[r].as_py(), np.int32)
+                bins, chunk = np.frombuffer(batch.column(3)[r].as_py(), np.int32), batch.column(0)[r].as_py()
+                fills = np.bincount(bins, lengths)
+                least = np.argsort(np.where(fills > 0, fills, np.inf), kind="stable")[:open_bins]
                 order = np.argsort(bins, kind="stable")
                 ends = np.cumsum(lengths[order])
                 heads = np.append(True, np.diff(bins[order]) != 0)
                 offset = ends - lengths[order]
                 offset = offset - np.maximum.accumulate(np.where(heads, offset, 0))
-                sequence = (batch.column(0)[r].as_py() << 24) + bins[order].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(uids[order]), pa.array(sequence), pa.array(offset)], names=["uid", "sequence_id", "offset"])
+                sequence = (((level << 30) + chunk) << 24) + bins[order].astype(np.int64)
+                left = np.isin(bins[order], least)
+                columns = [uids[order], lengths[order], np.full(len(order), chunk), sequence, offset, left]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "length", "chunk", "sequence_id", "offset", "open"])
+
+    return best.mapInArrow(run, "uid long, length long, chunk long, sequence_id long, offset long, open boolean")
 
-    return best.mapInArrow(run, "uid long, sequence_id long, offset long")
+
+def sequences(short: DataFrame, plan: Packing) -> DataFrame:
+    """uid, sequence_id, offset of pieces (uid, length) shorter than a sequence."""
+    chunks, level, done = max(1, -(-short.count() // plan.chunk)), 0, None
+    items = short.select(F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk"), "uid", "length", F.lit(None).cast("long").alias("home"))
+    while True:
+        rows = durable(_placed(_bred(items, plan, level), plan, level, plan.open_bins if chunks > 1 else 0))
+        settled = rows.filter("NOT open").select("uid", "sequence_id", "offset")
+        done = settled if done is None else done.unionByName(settled)
+        if chunks == 1:
+            return done
+        chunks, level = -(-chunks // plan.merge), level + 1
+        items = rows.filter("open").select(F.floor(F.col("chunk") / plan.merge).alias("chunk"), "uid", "length", F.col("sequence_id").alias("home"))
 
 
 def packed(df: DataFrame, vocabulary: str, plan: Packing = Packing()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     whole = durable(pieces(df, vocabulary, plan).withColumn("uid", F.monotonically_increasing_id()))
     short = whole.filter(F.col("length") < plan.capacity)
-    chunks = max(1, -(-short.count() // plan.chunk))
-    dealt = short.select(F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk"), F.struct("uid", "length").alias("item"))
-    # a chunk has about plan.chunk items of two numbers, whatever the size of the table
-    gathered = dealt.groupBy("chunk").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    start = gathered.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(plan.islands - 1))).alias("island"), F.col("items.uid").alias("uids"), F.col("items.length").alias("lengths"))
-    state = start.withColumns({"population": F.lit(None).cast("array<binary>"), "elite": F.lit(None).cast("binary")}).repartition("chunk", "island")
-    for number in range(plan.rounds):
-        state = durable(_evolve(state, plan, number))
-        if number + 1 < plan.rounds:
-            elites = state.select("chunk", ((F.col("island") + 1) % plan.islands).alias("island"), F.col("population")[0].alias("elite"))
-            state = state.join(elites, ["chunk", "island"])
-    best = state.groupBy("chunk").agg(F.min_by(F.struct("uids", "lengths", F.col("population")[0].alias("bins")), F.struct("bins", "island")).alias("b"))
-    placed = _placed(best.select("chunk", "b.uids", "b.lengths", "b.bins"))
     alone = whole.filter(F.col("length") == plan.capacity).withColumns({"sequence_id": -F.col("uid") - 1, "offset": F.lit(0).cast("long")})
-    return short.join(placed, "uid").unionByName(alone).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return short.join(sequences(short.select("uid", "length"), plan), "uid").unionByName(alone).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

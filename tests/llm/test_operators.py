@@ -1,5 +1,6 @@
 """The operators against brute force on small tables that hold the hard cases."""
 
+import bisect
 import hashlib
 import os
 import random
@@ -202,6 +203,53 @@ def test_packing_beats_first_fit():
     assert np.bincount(best, lengths).max() <= 1024 and (best >= 0).all()
 
 
+def best_fit_decreasing(lengths):
+    room, out = [], 0
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(room, n)
+        out += i == len(room)
+        left = room.pop(i) - n if i < len(room) else 1024 - n
+        bisect.insort(room, left)
+    return out
+
+
+def test_packing_over_chunks(spark):
+    """Open bins of all chunks packed again: fewer sequences than with chunks apart, close to the bound; nothing is lost on the way."""
+    r = np.random.default_rng(4)
+    lengths = r.integers(20, 900, 1500).tolist()
+    short = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    apart = packing.sequences(short, packing.Packing(chunk=100, open_bins=0)).select("sequence_id").distinct().count()
+    one = packing.sequences(short, packing.Packing()).select("sequence_id").distinct().count()
+    assert one <= best_fit_decreasing(lengths)
+    for plan in (packing.Packing(chunk=100), packing.Packing(chunk=100, merge=4, open_bins=12)):
+        got = packing.sequences(short, plan).toPandas()
+        assert sorted(got.uid) == list(range(1500))
+        got["length"] = [lengths[u] for u in got.uid]
+        for _, s in got.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert s.offset.tolist() == np.cumsum([0, *s.length[:-1]]).tolist() and s.length.sum() <= 1024
+        assert got.sequence_id.nunique() < apart and got.sequence_id.nunique() <= 1.01 * sum(lengths) / 1024, plan
+
+
+def test_migration(spark):
+    state = spark.createDataFrame([(c, i, [f"{c}{i}".encode(), b"other"]) for c in (1, 2) for i in range(3)], "chunk long, island int, population array<binary>")
+    got = {(r["chunk"], r["island"]): bytes(r["elite"]) for r in packing.migrated(state, packing.Packing()).collect()}
+    assert got == {(c, i): f"{c}{(i + 2) % 3}".encode() for c in (1, 2) for i in range(3)}
+
+
+def test_crossover_keeps_whole_bins():
+    r = np.random.default_rng(3)
+    lengths = r.integers(100, 700, 200)
+    chunk = packing.Chunk(lengths, packing.Packing(), 5)
+    giver, taker = chunk.fresh(0.0), chunk.fresh(0.3)
+    child = chunk.crossed(giver, taker)
+    assert (child >= 0).all() and np.bincount(child, lengths).max() <= 1024
+    bins = lambda x: {frozenset(np.flatnonzero(x == b).tolist()) for b in set(x.tolist())}
+    half = np.quantile([sum(lengths[list(b)]) for b in bins(giver)], 0.5)
+    injected = bins(child) & bins(giver) - bins(taker)
+    assert injected and any(sum(lengths[list(b)]) >= half for b in injected)
+
+
 def test_placement(spark, docs, none):
     shards = [f"s{i}" for i in range(7)]
     table = placement.filled(shards, 101)
