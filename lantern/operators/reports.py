@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import texts
+
 
 def judged_answers(items: DataFrame) -> DataFrame:
     """One row: mean and least correctness, keyword recall, violations, errors (items: correctness, keyword_recall, violations, error)."""
@@ -78,3 +80,15 @@ def reranked(candidates: DataFrame, cache: DataFrame, model: str, score: Callabl
     scored = keyed.join(cache.select("key", "score").withColumn("cached", F.lit(True)).unionByName(fresh), "key")
     order = Window.partitionBy("question").orderBy(F.desc("score"), "position")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("question", "rank", "position", "score", "cached")
+
+
+def source_list(fragments: DataFrame, answers: DataFrame, snippet: int = 200) -> DataFrame:
+    """question, id, file_name, source, category, page, score, snippet, cited of the fragments of each question's context.
+
+    A fragment's number in the context is its id; it is cited where the question's answer names it ([2], [1, 3]).  A missing
+    score is 0; a question without an answer cites nothing.
+    """
+    cited = F.coalesce(F.array_contains(texts.cited(F.col("answer"), F.col("number").cast("int")), F.col("number").cast("int")), F.lit(False))
+    short = F.substring(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")), 1, snippet)
+    j = fragments.join(answers.select("question", "answer"), "question", "left")
+    return j.select("question", F.col("number").alias("id"), "file_name", "source", "category", "page", F.round(F.coalesce("score", F.lit(0.0)), 3).alias("score"), short.alias("snippet"), cited.alias("cited"))

@@ -64,3 +64,17 @@ def jn7(spark, d):
     key = F.sha2(F.concat_ws("\x1f", F.lit("m"), "query", "text"), 256)
     cache = c.filter("query = 'user'").select(key.alias("key"), (F.char_length("text") + F.char_length("query")).cast("double").alias("score")).distinct()
     return reports.reranked(c, cache, "m", lambda pairs: [len(q) + len(t) for q, t in pairs], 2)
+
+
+@query(
+    "top5_source_list",
+    """SELECT doc_id // 5 AS question, doc_id % 5 + 1 AS id, source || '.md' AS file_name, 'docs/' || source AS source, lang AS category, doc_id % 4 AS page, coalesce(round((n_chars % 9973) / 9973.0, 3), 0) AS score,
+    substring(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')), 1, 200) AS snippet, list_contains([doc_id // 5 % 5 + 1, doc_id // 5 % 3 + 1, doc_id // 5 % 7 + 1], doc_id % 5 + 1) AS cited FROM documents""",
+)
+def top5(spark, d):
+    docs = table(spark, d, "documents").withColumn("question", F.expr("doc_id div 5"))
+    name = F.concat("source", F.lit(".md"))
+    fragments = docs.select("question", (F.col("doc_id") % 5 + 1).alias("number"), "text", name.alias("file_name"), F.concat(F.lit("docs/"), "source").alias("source"), F.col("lang").alias("category"), (F.col("doc_id") % 4).alias("page"), ((F.col("n_chars") % 9973) / 9973.0).alias("score"))
+    n = lambda k: (F.col("question") % k + 1).cast("string")
+    answers = docs.select("question").distinct().withColumn("answer", F.concat(F.lit("as ["), n(5), F.lit(", "), n(3), F.lit("] say and ["), n(7), F.lit("] too")))
+    return reports.source_list(fragments, answers)
