@@ -392,5 +392,12 @@ def test_toxicity(spark):
     right = sum(x["predicted"] == int(i % 4 == 0) for i, x in held.items() if i < 900)
     assert right / len([i for i in held if i < 900]) > 0.95
     assert compression.not_toxic(d, lab).columns == d.columns
+    rows = compression.sample(d, lab, compression.Training())
+    model, apart = compression.fit(rows), rows.filter("apart")
+    assert len(model.toxic) <= 100_000 and compression.spelled("plomfug") in model.toxic and compression.spelled("plomfug") not in model.ordinary
+    found = lambda m: compression.scored(d.filter("doc_id % 4 = 0"), m).filter("predicted = 1").count()
+    assert found(model) > 180
+    same = compression.calibrated(apart, compression.Model(model.toxic, model.toxic, model.distances, ()))
+    assert found(same) < 45  # without two dictionaries nothing tells: it is the distance that decides
     assert compression.toxicity(d.limit(0), lab).count() == 0
     assert compression.toxicity(d, lab.limit(0)).filter("predicted = 1 OR score > 0").count() == 0
