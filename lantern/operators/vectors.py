@@ -114,7 +114,11 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 def trigram_buckets(text: Column, dims: int = 4096) -> Column:
     """bucket to count of the text's letter triples, hashed by the first four bytes of MD5, little-endian."""
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
+    letters = F.split(low, "")  # once a text: a substring at each place would walk the text anew
+    after = lambda n: F.slice(letters, n + 1, F.greatest(F.size(letters) - n, F.lit(0)))
+    pairs = F.zip_with(letters, after(1), lambda a, b: F.concat(a, b))
+    whole = F.filter(F.zip_with(pairs, after(2), lambda a, b: F.concat(a, b)), lambda t: t.isNotNull())
+    triples = F.when(F.coalesce(F.char_length(low), F.lit(0)) < 3, F.array(low)).otherwise(whole)
 
     def bucket(t: Column) -> Column:
         h = F.md5(t)
