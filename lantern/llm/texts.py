@@ -45,8 +45,10 @@ class Words:
     `ids[first[i]:first[i + 1]]`.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        gap = (data == 32) | ((data >= 9) & (data <= 13))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray | None = None):
+        """gap: which bytes stand between words; white space, where it isn't given."""
+        if gap is None:
+            gap = (data == 32) | ((data >= 9) & (data <= 13))
         solid = ~gap
         begins = solid.copy()
         begins[1:] &= gap[:-1]
@@ -71,6 +73,17 @@ class Words:
         return each[self.ids]
 
 
+#: A-Z lower-cased, and which bytes then stand between terms: ASCII but letters and digits.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The terms of a block of texts: runs of letters, digits and whatever isn't ASCII, with A-Z in lower case."""
+    low = _LOWER[data]
+    return Words(low, offsets, _GAP[low])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> _U(30))) * MIX1
