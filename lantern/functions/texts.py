@@ -81,6 +81,26 @@ def clean_upload(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}&&[^\n\t]]", "")
 
 
+def truncated(text: Column, limit: int) -> Column:
+    """The start of a text of at most `limit` tokens of four UTF-8 bytes; a letter that doesn't fit whole is left out."""
+    raw, most = F.encode(text, "UTF-8"), max(limit, 0) * 4
+
+    def within(at: int) -> Column:  # whether the byte is inside a letter
+        return F.hex(F.substring(raw, at, 1)).between("80", "BF")
+
+    end = F.when(~within(most + 1), most).when(~within(most), most - 1).when(~within(most - 1), most - 2).otherwise(most - 3) if most else F.lit(0)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(raw, F.lit(1), end), "UTF-8"))
+
+
+def shortened(text: Column, limit: int) -> Column:
+    """A text of at most `limit` letters, cut at the last space in the last tenth (at the limit, where there is none), with a note of what is shown."""
+    head = F.substring(text, 1, limit)
+    back = F.instr(F.reverse(F.substring(head, int(limit * 0.9) + 1, limit)), " ")
+    cut = F.when(back > 0, limit - back).otherwise(F.lit(limit))
+    note = F.concat(F.lit("\n[…текст обрезан: показано "), cut.cast("string"), F.lit(" из "), F.char_length(text).cast("string"), F.lit(" символов]"))
+    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, F.lit(1), cut), r"(?U)\s+\z", ""), note))
+
+
 def category_of(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.when(F.size(parts) > 1, parts[0]).otherwise("general")

@@ -94,7 +94,6 @@ def first_votes(votes: DataFrame) -> DataFrame:
 
 
 def distinct_texts(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """The first row of each text, by the smallest `order`; a partial aggregate over the text's hash and length."""
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    first = rows.groupBy(key.alias("key")).agg(F.min(order).alias(order))
-    return first.join(rows, order).select(order, text)
+    """Each text once, with the smallest `order` of its rows; a partial aggregate over the text's hash.  Null is a text of its own."""
+    key = F.sha2(F.col(text), 256)
+    return rows.groupBy(key.alias("__key")).agg(F.min(order).alias(order), F.first(text).alias(text)).select(order, text)

@@ -16,12 +16,15 @@ def token_count(text: str) -> int:
 
 
 def window_chunks(text: str, size: int, overlap: int, count: Callable[[str], int] = token_count) -> list[str]:
-    """Runs of whole words of at most `size` tokens; the next run starts with the last words of at most `overlap` tokens."""
+    """Runs of whole words of at most `size` tokens; the next run starts with the last words of at most `overlap` tokens.
+
+    A word counts with the space behind it, so that no run of several words is over the size; one longer word is a run.
+    """
     out: list[str] = []
     run: list[tuple[str, int]] = []
     total = fresh = 0
     for word in text.split():
-        n = count(word)
+        n = count(word + " ")
         if run and total + n > size:
             out.append(" ".join(w for w, _ in run))
             while run and (total > overlap or total + n > size):
@@ -42,17 +45,20 @@ def pieces(text: str) -> list[str]:
 def recursive_chunks(text: str, size: int, overlap: int, count: Callable[[str], int] = token_count) -> list[str]:
     """Paragraphs and sentences merged up to `size` tokens; a longer sentence is cut into word windows."""
     parts = [p for s in pieces(text) for p in ([s] if count(s) <= size else window_chunks(s, size, 0, count))]
-    out, run, total = [], [], 0
+    out: list[str] = []
+    run: list[tuple[str, int]] = []
+    total = 0
     for part in parts:
+        part = part if part[-1:].isspace() else part + " "
         n = count(part)
         if run and total + n > size:
-            out.append("".join(run).strip())
+            out.append("".join(p for p, _ in run).strip())
             while run and (total > overlap or total + n > size):
-                total -= count(run.pop(0))
-        run.append(part if part[-1:].isspace() else part + " ")
+                total -= run.pop(0)[1]
+        run.append((part, n))
         total += n
     if run:
-        out.append("".join(run).strip())
+        out.append("".join(p for p, _ in run).strip())
     return [c for c in out if c]
 
 

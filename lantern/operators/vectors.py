@@ -91,11 +91,14 @@ def _of_block(block: DataFrame, points: DataFrame, k: int, metric: str, most_sco
 
 
 def upserted(current: DataFrame, fresh: DataFrame, columns: list[str]) -> DataFrame:
-    """id, columns, action of the next snapshot: inserted, updated (only if something differs), or left."""
-    a = current.select("id", F.struct(*columns).alias("old"), F.xxhash64(*columns).alias("old_hash"))
-    b = fresh.select("id", F.struct(*columns).alias("new"), F.xxhash64(*columns).alias("new_hash"))
+    """id, columns, action of the next snapshot: inserted, updated (only if something differs), or left.
+
+    Whole rows are compared, null as a value of its own: a value that moves to another column is a change.
+    """
+    a = current.select("id", F.struct(*columns).alias("old"))
+    b = fresh.select("id", F.struct(*columns).alias("new"))
     both = a.join(b, "id", "full_outer")
-    action = F.when(F.col("new_hash").isNull(), "left").when(F.col("old_hash").isNull(), "inserted").when(F.col("old_hash") == F.col("new_hash"), "left").otherwise("updated")
+    action = F.when(F.col("new").isNull(), "left").when(F.col("old").isNull(), "inserted").when(F.col("old").eqNullSafe(F.col("new")), "left").otherwise("updated")
     return both.select("id", F.coalesce("new", "old").alias("row"), action.alias("action")).select("id", "row.*", "action")
 
 

@@ -150,6 +150,23 @@ def fn27(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
+@query(
+    "fn27_truncated",
+    "SELECT doc_id, CASE WHEN strlen(text) <= 196 THEN text ELSE text[:list_max(list_filter(range(0, 197), lambda k: strlen(text[:k]) <= 196))] END AS text FROM documents",
+)
+def fn27_truncated(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", texts.truncated(F.col("text"), 49).alias("text"))
+
+
+@query(
+    "fn9_shortened",
+    r"""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(text[:cut], '\s+$', '') || chr(10) || '[…текст обрезан: показано ' || cut || ' из ' || length(text) || ' символов]' END AS text
+    FROM (SELECT doc_id, text, CASE WHEN strpos(reverse(text[271:300]), ' ') > 0 THEN 300 - strpos(reverse(text[271:300]), ' ') ELSE 300 END AS cut FROM documents)""".replace("\\s", "\s"),
+)
+def fn9_shortened(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", texts.shortened(F.col("text"), 300).alias("text"))
+
+
 @query("fn28_prefixes", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'passage: ' WHEN 1 THEN 'search_document: ' ELSE '' END || source AS text FROM documents")
 def fn28(spark, sf_dir):
     model = F.element_at(F.array(F.lit("intfloat/multilingual-e5-small"), F.lit("nomic-embed-text"), F.lit("bge-m3")), (F.col("doc_id") % 3 + 1).cast("int"))

@@ -40,20 +40,35 @@ def released(tail: str, hold: int = HOLD) -> tuple[str, str]:
     return masked(tail[:cut]), tail[cut:]
 
 
-def guarded(deltas: DataFrame, hold: int = HOLD) -> DataFrame:
-    """answer_id, text released by each batch of a stream of (answer_id, seq, delta, last); the end mark flushes."""
+def until(state: GroupState, latest: float, idle: float) -> None:
+    """The state ends when the watermark is `idle` seconds past the key's latest row."""
+    state.setTimeoutTimestamp(max(int((latest + idle) * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def guarded(deltas: DataFrame, hold: int = HOLD, delay: str = "1 minute", idle: float = 600.0) -> DataFrame:
+    """answer_id, text released by each batch of a stream of (answer_id, seq, delta, last, ts).
+
+    The end mark flushes; so does the end of an answer that got none and was idle for so long in event time.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("seq")
-        tail = (state.get[0] if state.exists else "") + "".join(rows["delta"].fillna(""))
-        out, tail = (masked(tail), "") if rows["last"].any() else released(tail, hold)
-        if rows["last"].any():
+        tail, latest = state.get if state.exists else ("", 0.0)
+        if state.hasTimedOut:
+            out, ended = masked(tail), True
+        else:
+            rows = pd.concat(list(parts)).sort_values("seq")
+            tail, ended = tail + "".join(rows["delta"].fillna("")), bool(rows["last"].any())
+            latest = max(latest, rows["ts"].max().timestamp())
+            out, tail = (masked(tail), "") if ended else released(tail, hold)
+        if ended:
             state.remove()
         else:
-            state.update((tail,))
+            state.update((tail, latest))
+            until(state, latest, idle)
         yield pd.DataFrame({"answer_id": [key[0]], "text": [out]})
 
-    return deltas.groupBy("answer_id").applyInPandasWithState(run, "answer_id long, text string", "tail string", "append", GroupStateTimeout.NoTimeout)
+    timely = deltas.withWatermark("ts", delay)
+    return timely.groupBy("answer_id").applyInPandasWithState(run, "answer_id long, text string", "tail string, latest double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def guarded_batch(deltas: DataFrame, hold: int = HOLD) -> DataFrame:

@@ -16,10 +16,15 @@ def first_votes(votes: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def rolling_counts(messages: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """start, messages, asked, users (about) for each window of event time."""
-    w = messages.withWatermark("created_at", delay).groupBy(F.window("created_at", width))
-    counts = w.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("role") == "user").alias("asked"), F.approx_count_distinct("owner").alias("users"))
-    return counts.select(F.col("window.start").alias("start"), "messages", "asked", "users")
+    """start, messages, asked, users (distinct owners who asked) for each window of event time; works on tables too.
+
+    Counts are made by owner first and then added up, so that users are counted exactly and the state has a row for each
+    owner and open window.  A window comes out once the watermark is past its end; what is later than that is dropped.
+    """
+    timely = messages.withWatermark("created_at", delay)
+    by_owner = timely.groupBy(F.window("created_at", width).alias("w"), "owner").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "user").alias("asked"))
+    counts = by_owner.groupBy(F.window(F.window_time("w"), width).alias("w")).agg(F.sum("n").alias("messages"), F.sum("asked").alias("asked"), F.count_if(F.col("asked") > 0).alias("users"))
+    return counts.select(F.col("w.start").alias("start"), "messages", "asked", "users")
 
 
 def _replay(times: list[float], state: tuple[float, int] | None, limit: int, seconds: float) -> tuple[list[tuple], tuple[float, int] | None]:
@@ -46,8 +51,11 @@ def rate_limited_batch(requests: DataFrame, limit: int, seconds: float = 60.0) -
     return requests.select("client", "ts").groupBy("client").applyInPandas(run, "client string, ts timestamp, allowed boolean, remaining int, retry_after double")
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
-    """The stream's twin: the state of a client is its window, dropped when that ends."""
+def rate_limited(requests: DataFrame, limit: int, seconds: float = 60.0, delay: str = "10 seconds") -> DataFrame:
+    """The stream's twin: the state of a client is its window, dropped when the watermark is past its end.
+
+    All of it is event time: a backlog or a slow batch forgets no window.  Requests later than the delay get no verdict.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,12 +63,17 @@ def rate_limited(requests: DataFrame, limit: int, seconds: float = 60.0) -> Data
             return
         rows = pd.concat(list(parts)).sort_values("ts", kind="stable").reset_index(drop=True)
         found, after = _replay([t.timestamp() for t in rows["ts"]], state.get if state.exists else None, limit, seconds)
-        state.update(after)
-        state.setTimeoutDuration(int(seconds * 1000))
+        end = int((after[0] + seconds) * 1000)
+        if end > state.getCurrentWatermarkMs():
+            state.update(after)
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         yield rows[["client", "ts"]].join(pd.DataFrame(found, columns=["allowed", "remaining", "retry_after"]))
 
     schema = "client string, ts timestamp, allowed boolean, remaining int, retry_after double"
-    return requests.select("client", "ts").groupBy("client").applyInPandasWithState(run, schema, "opened double, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timely = requests.select("client", "ts").withWatermark("ts", delay)
+    return timely.groupBy("client").applyInPandasWithState(run, schema, "opened double, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_sinks(screened: DataFrame, allowed: Callable[[DataFrame], None], incidents: Callable[[DataFrame], None]):
