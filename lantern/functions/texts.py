@@ -19,13 +19,18 @@ PII = {
 }
 # Keys of log rows that are never masked.
 TECHNICAL_KEYS = ("timestamp", "level", "logger", "request_id", "trace_id", "prompt_hash")
+# Fixed value: the form of a citation.
 CITATION = r"\[(\d{1,2}(?:\s*[,;]\s*\d{1,2})*)\]"
-NO_ANSWER_HEAD = "по базе не нашёл"  # fixed value: how a refusal begins
+# The refusal, how one begins, and a line of sources that names none.
+NO_ANSWER = "По базе не нашёл, могу эскалировать."
+NO_ANSWER_HEAD = "по базе не нашёл"
+EMPTY_SOURCES = r"\s*Источники:\s*\.?\s*$"
 # Words that carry no meaning in a search.
 STOPWORDS = (
     "и в во на с со к ко по за из у о об а но или не ни ли же бы то это как что где когда почему зачем мне меня мой моя мои я "
     "вы вас ваш есть для от до при так уже можно нужно подскажите пожалуйста здравствуйте если"
 ).split()
+# Fixed value: the endings that are cut off.
 ENDINGS = "аеиоуыэюяйь"
 #: Categories of tickets and the wordings that name them.
 TICKETS = {"FAQ": ("faq", "частый вопрос", "частые вопросы"), "тех. проблема": ("тех проблема", "техпроблема", "техническая проблема", "технический сбой"), "жалоба": ("жалоба",), "прочее": ("прочее", "другое")}
@@ -154,6 +159,28 @@ def without_citations(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+([.,;:!?])", "$1"), r"\A\s+|\s+\z", "")
 
 
+def with_sources_line(answer: Column, number: Column, count: Column) -> Column:
+    """The answer with a line that names source `number` (`operators.evaluation.best_overlap`; null: none), unless it cites one of `count` or refuses."""
+    settled = (F.trim(answer) == "") | is_refusal(answer) | (F.size(cited(answer, count)) > 0) | number.isNull() | (count < 1)
+    body = F.regexp_replace(F.regexp_replace(answer, r"(?U)\s+\z", ""), EMPTY_SOURCES, "")
+    return F.when(settled, answer).otherwise(F.concat(body, F.lit("\n\nИсточники: ["), number.cast("string"), F.lit("]")))
+
+
+def sources_suffix(answer: Column, number: Column, count: Column) -> Column:
+    """What has to follow an answer that was sent already, so that it names source `number`; empty where nothing has to."""
+    settled = (F.trim(answer) == "") | is_refusal(answer) | (F.size(cited(answer, count)) > 0) | number.isNull() | (count < 1)
+    ref = F.concat(F.lit("["), number.cast("string"), F.lit("]"))
+    gap = F.when(F.endswith(answer, F.lit("\n\n")), "").when(F.endswith(answer, F.lit("\n")), "\n").otherwise("\n\n")
+    return F.when(settled, "").when(answer.rlike(EMPTY_SOURCES), F.concat(F.lit(" "), ref)).otherwise(F.concat(gap, F.lit("Источники: "), ref))
+
+
+def final_answer(answer: Column, phrase: str = NO_ANSWER) -> Column:
+    """answer, confident: the trimmed answer, or the refusal where it is empty or refuses itself."""
+    own = F.regexp_replace(answer, r"(?U)\A\s+|\s+\z", "")
+    refused = (F.coalesce(own, F.lit("")) == "") | is_refusal(own)
+    return F.struct(F.when(refused, phrase).otherwise(own).alias("answer"), (~refused).alias("confident"))
+
+
 def is_refusal(answer: Column, phrase: str = NO_ANSWER_HEAD) -> Column:
     return F.contains(F.translate(F.lower(answer), "ё", "е"), F.lit(phrase.lower().replace("ё", "е")))
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors
+
 
 def token_count(text: str) -> int:
     """A quarter of the UTF-8 bytes, rounded up."""
@@ -88,6 +91,45 @@ def boundaries(sentences: DataFrame, distance: str = "distance", percentile: flo
     return sentences.join(limits, "doc_id").withColumn("chunk", F.coalesce(F.sum((F.col(distance) > F.col("limit")).cast("int")).over(before), F.lit(0).cast("long"))).drop("limit")
 
 
+def sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, place, sentence: the pieces of each text, joined again the text; an empty one has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lists = [pieces(t or "") for t in part.column(1).to_pylist()]
+                row = [i for i, c in enumerate(lists) for _ in c]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array([k for c in lists for k in range(len(c))], pa.int32()), pa.array([t for c in lists for t in c], pa.string())], names=["doc_id", "place", "sentence"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int, sentence string")
+
+
+def distances(rows: DataFrame, embed: Callable[[list[str]], np.ndarray], buffer: int = 1) -> DataFrame:
+    """doc_id, place, sentence, distance: how far a sentence with `buffer` neighbours on either side is from the next such group.
+
+    The distance is 1 - cosine to nine places, null for a document's last sentence, 1 where a group has no vector
+    (only white space) or one without length.  Each distinct group goes through the model once.
+    """
+    near = Window.partitionBy("doc_id").orderBy("place").rowsBetween(-buffer, buffer)
+    order = Window.partitionBy("doc_id").orderBy("place")
+    grouped = rows.withColumn("group", F.array_join(F.collect_list("sentence").over(near), "")).withColumn("key", F.sha2("group", 256))
+    found = grouped.join(vectors.embedded(grouped.select("group"), "group", embed), "key", "left")
+    placed = found.withColumns({"next": F.lead("vector").over(order), "last": F.lead("place").over(order).isNull()})
+    apart = F.coalesce(F.round(1 - vectors.cosine(F.col("vector"), F.col("next")), 9), F.lit(1.0))
+    return placed.select("doc_id", "place", "sentence", F.when(~F.col("last"), apart).alias("distance"))
+
+
+def semantic_chunks(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], buffer: int = 1, percentile: float = 0.95) -> DataFrame:
+    """doc_id, number, text: a new chunk starts behind a distance over the document's percentile; joined chunks are the text.
+
+    Texts without a sentence have no chunk; doc_id must be the document's own.
+    """
+    cut = boundaries(distances(sentences(docs), embed, buffer), percentile=percentile)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), "")
+    return cut.groupBy("doc_id", F.col("chunk").cast("int").alias("number")).agg(joined.alias("text"))
+
+
 def stats(chunks: DataFrame) -> DataFrame:
     """One row: chunks, documents, per document, tokens (mean, least, most), mean characters."""
     return chunks.agg(

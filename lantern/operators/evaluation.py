@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -23,20 +23,27 @@ def means(scores: DataFrame, by: Sequence[str] = (), places: int = 4) -> DataFra
     return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), places).alias("hit"), F.round(F.avg("rr"), places).alias("mrr"), F.round(F.avg("recall"), places).alias("recall"))
 
 
-def index_percentile(values: Column, p: float, rule: str) -> Column:
-    """Of an array: the element at ceil(p n) - 1 (rule "nearest") or at p (n - 1) rounded half to even (rule "round")."""
-    ordered = F.sort_array(values)
-    n = F.size(values)
-    at = F.ceil(F.lit(p) * n).cast("int") - 1 if rule == "nearest" else F.bround(F.lit(p) * (n - 1), 0).cast("int")
-    return F.get(ordered, F.greatest(at, F.lit(0)))
-
-
 def distribution(rows: DataFrame, group: str, value: str, places: int = 3) -> DataFrame:
     """group, n, min, p10, median, p90, max of scores."""
-    v = F.collect_list(value)
-    gathered = rows.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.expr(f"percentile({value}, 0.5)").alias("mid"), v.alias("all"))
+    found = _at_places(rows.select(group, value), [group], value, {"p10": lambda n: F.bround(F.lit(0.1) * (n - 1), 0) + 1, "p90": lambda n: F.bround(F.lit(0.9) * (n - 1), 0) + 1})
     r = lambda c: F.round(c, places)
-    return gathered.select(group, "n", r(F.col("lo")).alias("min"), r(index_percentile(F.col("all"), 0.1, "round")).alias("p10"), r(F.col("mid")).alias("median"), r(index_percentile(F.col("all"), 0.9, "round")).alias("p90"), r(F.col("hi")).alias("max"))
+    return found.select(group, "n", r(F.col("lo")).alias("min"), r(F.col("p10")).alias("p10"), r(F.col("median")).alias("median"), r(F.col("p90")).alias("p90"), r(F.col("hi")).alias("max"))
+
+
+def _at_places(rows: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, n, lo, hi, median and the values at places (from 1, by the number n) among each group's values in order, null ones left out.
+
+    Values are counted first; a window over the counts finds the places, so a group's rows are never one row or one array.
+    The median lies between the two middle places.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*keys)
+    running = whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"__upto": F.sum("__c").over(running), "n": F.sum("__c").over(whole)})
+    at = {**places, "__low": lambda n: F.floor((n + 1) / 2), "__high": lambda n: F.floor(n / 2) + 1}
+    first = lambda place: F.min(F.when(F.col("__upto") >= F.greatest(place(F.col("n")), F.lit(1)), F.col("__v")))
+    found = placed.groupBy(*keys).agg(F.first("n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), *(first(p).alias(name) for name, p in at.items()))
+    return found.withColumn("median", (F.col("__low") + F.col("__high")) / 2).drop("__low", "__high")
 
 
 def threshold(rows: DataFrame, score: str = "score", inside: str = "inside", places: int = 3) -> DataFrame:
@@ -71,6 +78,48 @@ def summary(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return long.groupBy("metric").agg(F.round(F.avg(good), 4).alias("mean"), F.count(good).alias("n"), F.count_if(F.isnan("v")).alias("nan"))
 
 
+def run_totals(rows: DataFrame) -> DataFrame:
+    """One row of a run's rows (response, latency_ms, confident, contexts, errors): rows, latency mean, p50 and p95 in whole milliseconds,
+    refusals by the score guard (without contexts) and by the model, empty answers, rows with errors.
+
+    Percentiles interpolate; an empty answer is a failure and no refusal.
+    """
+    answered = F.coalesce(F.col("response"), F.lit("")) != ""
+    refused = answered & ~F.coalesce(F.col("confident"), F.lit(False))
+    guard = refused & (F.coalesce(F.size("contexts"), F.lit(0)) <= 0)
+    ms = lambda c: F.bround(c, 0).cast("long")
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), ms(F.avg("latency_ms")).alias("latency_mean"), ms(F.expr("percentile(latency_ms, 0.5)")).alias("latency_p50"), ms(F.expr("percentile(latency_ms, 0.95)")).alias("latency_p95"),
+        F.count_if(guard).alias("refused_guard"), F.count_if(refused & ~guard).alias("refused_model"), F.count_if(~answered).alias("empty"), F.count_if(F.coalesce(F.size("errors"), F.lit(0)) > 0).alias("with_errors"),
+    )
+
+
+#: Measures of an agent's run beside its latency.
+TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens", "steps", "llm_calls")
+
+
+def agent_benchmark(runs: DataFrame) -> DataFrame:
+    """task, impl, runs, latency (mean, least, most), means of TOKENS, correct, forced stops and errors that weren't forced stops."""
+    mean = lambda c: F.bround(F.avg(c), 1).alias(c)
+    forced = F.coalesce(F.col("forced"), F.lit(False))
+    return runs.groupBy("task", "impl").agg(
+        F.count(F.lit(1)).alias("runs"), F.bround(F.avg("latency_ms"), 0).alias("latency_ms"), F.bround(F.min("latency_ms"), 0).alias("latency_min"), F.bround(F.max("latency_ms"), 0).alias("latency_max"),
+        *map(mean, TOKENS), F.count_if("correct").alias("correct"), F.count_if(forced).alias("forced"), F.count_if(F.col("error").isNotNull() & ~forced).alias("errors"),
+    )
+
+
+def benchmark_totals(benchmark: DataFrame) -> DataFrame:
+    """impl, and the sums of its tasks' means and counts (`agent_benchmark`)."""
+    return benchmark.groupBy("impl").agg(*(F.round(F.sum(c), 1).alias(c) for c in ("latency_ms", "prompt_tokens", "completion_tokens", "total_tokens", "llm_calls")), F.sum("correct").alias("correct"), F.sum("runs").alias("runs"))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """category, files, bytes, formats (a map of each to its files), authors (distinct, in order) of files (category, format, bytes, author)."""
+    by_format = files.groupBy("category", "format").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.collect_set("author").alias("authors"))
+    formats = F.map_from_entries(F.filter(F.collect_list(F.struct("format", "n")), lambda x: x["format"].isNotNull()))
+    return by_format.groupBy("category").agg(F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), formats.alias("formats"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("authors")))).alias("authors"))
+
+
 def worst(rows: DataFrame, metric: str, key: str, n: int) -> DataFrame:
     """The n rows of the smallest metric, ties by key, NaN and null left out."""
     return rows.filter(F.col(metric).isNotNull() & ~F.isnan(metric)).orderBy(metric, key).limit(n)
@@ -115,9 +164,13 @@ def cost(usage: DataFrame, prices: Mapping[str, float], label: str) -> DataFrame
 
 def latency_table(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and nearest-rank p95 for each of the keys, and for the first key alone (others null)."""
-    sets = F.collect_list(value)
-    rolled = rows.rollup(*keys).agg(F.expr(f"percentile({value}, 0.5)").alias("median"), sets.alias("all"), F.grouping(keys[0]).alias("g"))
-    return rolled.filter("g = 0").select(*keys, F.round("median", 4).alias("median"), F.round(index_percentile(F.col("all"), 0.95, "nearest"), 4).alias("p95"))
+    p95 = {"p95": lambda n: F.ceil(F.lit(0.95) * n)}
+    out = None
+    for level in range(len(keys), 0, -1):
+        found = _at_places(rows.select(*keys[:level], value), list(keys[:level]), value, p95)
+        part = found.select(*keys[:level], *(F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys[level:]), F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def round_robin(rows: DataFrame, category: str, key: str, seed: str, n: int, skip: DataFrame | None = None) -> DataFrame:
