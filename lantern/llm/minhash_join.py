@@ -3,10 +3,11 @@
 1. Every text gives its set of n-grams (64-bit hashes), a 128-bit fingerprint of that set, and MinHash values in
    `bands` bands of `rows` rows; both numbers follow from the recall wanted at the threshold (`banding`).
 2. Documents of equal sets are one class from here on.  Classes are shuffled on their band hashes.
-3. In each bucket, leaders take in the members whose MinHash estimate is near; large buckets are cut into parts
-   whose leaders meet afterwards, so no bucket is compared pair by pair.  The edges' connected components hold
-   every candidate pair: by the triangle inequality of the Jaccard distance, a pair over the threshold that meets in a
-   bucket shares a leader within the looser radius.
+3. In each bucket, leaders take in the members whose MinHash estimate is near; no bucket is compared pair by pair.  A
+   large bucket is cut into parts, each with leaders of its own, and then every member meets the leaders of all parts.
+   The edges' connected components hold every candidate pair: by the triangle inequality of the Jaccard distance, a
+   pair over the threshold that meets in a bucket shares a leader within the looser radius, whichever parts the two are in.
+   Estimates from one byte of each MinHash value decide what is near, so this holds up to their error, which the tests measure.
 4. In each component the full sets are compared, all pairs, in numpy blocks; large components as pairs of blocks
    over many tasks.  Links between different sets are counted with the number of copies on the other side.
 5. The links' connected components are the classes returned.
@@ -45,7 +46,8 @@ class Join:
     rows: int = 5
     near: float = 0.6  # a leader takes in members of at least this estimate
     loose: float = 0.3  # and is joined with those of at least this one
-    part: int = 4096  # most members of a bucket that are compared with its leaders in one go
+    part: int = 4096  # about the most members of a bucket that are compared with leaders in one group
+    leaders: int = 1024  # about the most leaders of other parts that they are then compared with in one group
     block: int = 256  # most sets of one side of a comparison of full sets
 
     @property
@@ -157,20 +159,56 @@ def _led(members: DataFrame, plan: Join) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary, bucket string")
 
 
+def _met(groups: DataFrame, plan: Join) -> DataFrame:
+    """Edges a, b of members to leaders that other parts of their band chose, from bucket, leads, fp, sig.
+
+    Every member of a group is compared with every leader in it; the first leader that is near enough takes the
+    member's edge, later ones are joined with that leader, once for each two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in whole_groups(batches, "bucket"):
+            leads, fp = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            sig = np.stack([np.frombuffer(s, np.uint8) for s in batch.column(3).to_pylist()])
+            found = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = np.arange(lo, hi)
+                heads, members = own[leads[lo:hi]], own[~leads[lo:hi]]
+                led = np.full(len(members), -1)
+                for head in heads.tolist():
+                    alike = (sig[members] == sig[head]).sum(1) / sig.shape[1]
+                    near = np.flatnonzero(alike >= plan.loose)
+                    fresh = near[led[near] < 0]
+                    found.append(np.stack((members[fresh], np.full(len(fresh), head)), 1))
+                    before = np.unique(led[near[led[near] >= 0]])
+                    found.append(np.stack((np.full(len(before), head), before), 1))
+                    led[fresh] = head
+            e = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([fp.take(pa.array(e[:, 0])), fp.take(pa.array(e[:, 1]))], names=["a", "b"])
+
+    dealt = groups.select("bucket", "leads", "fp", "sig").repartition("bucket").sortWithinPartitions("bucket", "leads", "fp")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def _candidates(classes: DataFrame, plan: Join) -> DataFrame:
     """node, component: the classes of which some pair may be over the threshold."""
     dealt = classes.select("fp", F.explode("bands").alias("band"))
     sizes = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # a part number spreads a large bucket over several groups
-    parts = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / plan.part))
-    met = dealt.join(sizes, "band").select("fp", "band", F.concat_ws("/", "band", parts).alias("bucket"), (F.col("size") > plan.part).alias("cut"))
-    members = met.join(classes.select("fp", "sig"), "fp")
+    met = dealt.join(sizes, "band").withColumn("parts", F.ceil(F.col("size") / plan.part))
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp", "band"), F.col("parts")))
+    members = met.withColumn("bucket", F.concat_ws("/", "band", "own")).join(classes.select("fp", "sig"), "fp")
     led = durable(_led(members, plan))
     edges = led.filter("b IS NOT NULL").select("a", "b")
-    heads = led.filter("b IS NULL").select(F.col("a").alias("fp"), F.substring_index("bucket", "/", 1).alias("bucket"))
-    several = heads.join(sizes.filter(F.col("size") > plan.part).select(F.col("band").cast("string").alias("bucket")), "bucket")
-    again = _led(several.join(classes.select("fp", "sig"), "fp"), plan).filter("b IS NOT NULL").select("a", "b")
-    return components(edges.unionByName(again))
+    # in a band that was cut, every member meets the leaders of all parts, in groups of a part and a block of leaders
+    cut = sizes.filter(F.col("size") > plan.part).select(F.col("band").cast("string").alias("band"), F.ceil(F.col("size") / plan.part).alias("parts"))
+    heads = led.filter("b IS NULL").select(F.col("a").alias("fp"), F.substring_index("bucket", "/", 1).alias("band")).join(cut, "band").distinct()
+    blocks = heads.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / plan.leaders).alias("blocks"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lead = heads.join(blocks, "band").withColumn("part", numbers("parts")).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks"))).select("band", "part", "block", "fp", F.lit(True).alias("leads"))
+    follow = met.filter(F.col("size") > plan.part).select(F.col("band").cast("string").alias("band"), F.col("own").alias("part"), "fp").join(blocks, "band").withColumn("block", numbers("blocks")).select("band", "part", "block", "fp", F.lit(False).alias("leads"))
+    groups = lead.unionByName(follow).withColumn("bucket", F.concat_ws("/", "band", "part", "block")).join(classes.select("fp", "sig"), "fp")
+    return components(edges.unionByName(_met(groups, plan)))
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
