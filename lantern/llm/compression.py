@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .groups import durable, set_aside
 from .texts import Words, blocks, text_column
@@ -220,8 +221,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*rows.schema.names, "score", "predicted"])
 
     plain = docs.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, f"{schema}, score double, predicted int")
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:

@@ -10,9 +10,9 @@ half the distance between the quartiles) by language and length, as shorter text
 spreads or more below the median in characters per token, characters per piece or entropy is rejected, and so is
 one that far above it in its share of bytes.  A length that is rare in a language takes the language's bounds at all
 lengths; a language that is null or rare takes the loosest bounds of its script's languages and of the script as a whole;
-a group is rare with fewer than `least_documents` documents or one document in 10,000, and a rare script has
-only its fixed band.  Texts of fewer than `least_tokens` tokens are too short for the measures other than the share of
-bytes, and meet that and the base rules.
+a group is rare with fewer than `least_documents` documents, and a rare script has only its fixed band.  Texts of
+fewer than `least_tokens` tokens meet fixed bands half as wide again, and of the corpus's bounds only those of their
+own length.
 
 Base rules: at least 10 words, and at most a fifth of them in 5-word windows that the text repeats.
 
@@ -32,6 +32,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .byte_pairs import codec, shared_file
 from .groups import set_aside, shared_folder
@@ -206,8 +207,8 @@ def measured(df: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*rows.columns, found], names=[*rows.schema.names, "__m"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, __m struct<{', '.join(f'{k}:{v}' for k, v in MEASURES.items())}>")
+    found = T.StructType.fromDDL(f"__m struct<{', '.join(f'{k}:{v}' for k, v in MEASURES.items())}>")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *found.fields]))
 
 
 #: The measures with a lower bound from the corpus, then the one with an upper bound; their decimals in the aggregate.
@@ -225,15 +226,14 @@ def _bounds(rows: DataFrame, keys: list[str], rules: Rules, least: int) -> DataF
 
 def _with_bounds(rows: DataFrame, rules: Rules) -> DataFrame:
     """rows with a struct __b of the bounds that hold for them, null where only the fixed band does."""
-    rows = rows.withColumn("__length", F.least(F.greatest(F.floor(F.log2("__q.n_tokens")), F.lit(5)), F.lit(12)).cast("int"))
+    rows = rows.withColumn("__length", F.least(F.greatest(F.floor(F.log2("__q.n_tokens")), F.lit(3)), F.lit(12)).cast("int"))
     lang = F.col("lang") if "lang" in rows.columns else F.lit(None).cast("string")
     rows = rows.withColumn("__lang", lang).withColumn("__script", F.col("__q.script"))
-    measured_rows = rows.filter(~F.col("__q.base_failed") & (F.col("__q.n_tokens") >= rules.least_tokens))
+    measured_rows = rows.filter(~F.col("__q.base_failed"))
     seen = ["__lang", "__script", "__length", *(f"__q.{k}" for k in ("n_chars_text", "n_tokens", "n_pieces", *FLOORS, CEILING))]
     distinct = measured_rows.select(*seen).distinct()  # copies count once
-    least = max(rules.least_documents, rows.count() // 10_000)
     known = distinct.filter("__lang IS NOT NULL")
-    bound = lambda keys, source=known: _bounds(source, keys, rules, least)
+    bound = lambda keys, source=known: _bounds(source, keys, rules, rules.least_documents)
     by_script = []
     for keys in (["__script", "__length"], ["__script"]):
         # the language isn't known, so the loosest bound of any of the script's languages holds
@@ -242,7 +242,9 @@ def _with_bounds(rows: DataFrame, rules: Rules) -> DataFrame:
     levels = [(k, bound(k)) for k in (["__lang", "__length"], ["__lang"])] + by_script
     for i, (keys, found) in enumerate(levels):
         rows = rows.join(F.broadcast(found.select(*keys, F.struct(*FLOORS, CEILING).alias(f"__b{i}"))), keys, "left")
-    return rows.withColumn("__b", F.coalesce(*(f"__b{i}" for i in range(len(levels)))))
+    # measures of short texts spread more: only bounds of their own length hold for them
+    alike = [F.when((F.col("__q.n_tokens") >= rules.least_tokens) | ("__length" in keys), F.col(f"__b{i}")) for i, (keys, _) in enumerate(levels)]
+    return rows.withColumn("__b", F.coalesce(*alike))
 
 
 def judged(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules = Rules(), columns: list[str] | None = None) -> DataFrame:
@@ -267,9 +269,12 @@ def judged(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules =
     q = lambda name: F.coalesce(F.col(f"__q.{name}"), F.lit(0.0))
     short = F.col("__q.n_tokens") < rules.least_tokens
 
+    def within(k: str, low: float, high: float):
+        return q(k).between(low, high) | (short & q(k).between(low / 1.5, high * 1.5))
+
     def inside(band: Band):
-        measures = q("chars_per_token").between(*band.chars_per_token) & q("chars_per_piece").between(*band.chars_per_piece) & q("token_entropy").between(*band.entropy)
-        return (q("fallback_share") <= band.most_fallback) & (short | measures)
+        measures = within("chars_per_token", *band.chars_per_token) & within("chars_per_piece", *band.chars_per_piece) & within("token_entropy", *band.entropy)
+        return (q("fallback_share") <= band.most_fallback) & measures
 
     verdict = F.lit(True)
     for script, band in rules.scripts.items():
@@ -279,7 +284,7 @@ def judged(df: DataFrame, byte_vocabulary: str, piece_model: str, rules: Rules =
             verdict = F.when(F.coalesce(F.col("lang"), F.lit("")) == language, inside(band)).otherwise(verdict)
     usual = F.coalesce(q(CEILING) <= F.col(f"__b.{CEILING}"), F.lit(True))
     for k in FLOORS:
-        usual &= short | F.coalesce(q(k) > F.col(f"__b.{k}"), F.lit(True))
+        usual &= F.coalesce(q(k) > F.col(f"__b.{k}"), F.lit(True))
     kept = (~F.col("__q.base_failed") & verdict & usual).alias("kept")
     return rows.select(*columns, F.struct("__q.*", kept).alias("__q"))
 

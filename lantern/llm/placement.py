@@ -5,9 +5,9 @@ take turns, each claiming its next free slot, a shard of weight w taking part in
 has a fixed number of rows, so it is broadcast, and a document's shard is one lookup of its key's hash.  Adding or
 removing a shard moves few other keys.
 
-Rows of one key go to one slot, but a key with more than a share of 1 / (parts_per_shard x shards) of all rows is
-cut into numbered parts, each with a slot of its own; there are at most parts_per_shard x shards such keys, so the
-list of them is broadcast too.  The part of a row is a hash of all its columns, plus the row's rank among equal rows,
+Rows of one key go to one slot, but a key of more than rows_per_part rows is cut into numbered parts, each with a slot
+of its own; only the key's own rows decide, so that a key's place doesn't move with the rest of the table.  The list of
+such keys is broadcast up to a checked size.  The part of a row is a hash of all its columns, plus the row's rank among equal rows,
 modulo the number of parts: the same rows give the same placement, however they are partitioned and read again.
 
 Defined results: a null id is keyed by its text, null text and null id by nothing; repeated rows of a key that isn't
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .groups import set_aside
+from .groups import durable, set_aside
 
 SLOTS = 65537
 
@@ -80,17 +80,20 @@ def _names(columns: Sequence[str]) -> list[str]:
     return out
 
 
-def placed(df: DataFrame, shards: Sequence[str], slots: int = SLOTS, weights: Sequence[int] | None = None, parts_per_shard: int = 8) -> DataFrame:
-    """The rows of df (doc_id, text and any others) with part, slot and shard."""
+def placed(df: DataFrame, shards: Sequence[str], slots: int = SLOTS, weights: Sequence[int] | None = None, rows_per_part: int = 10_000, most_hot: int = 100_000) -> DataFrame:
+    """The rows of df (doc_id, text and any others) with part, slot and shard.
+
+    A key of more than rows_per_part rows is cut into parts of about so many; only its own count decides.  The keys that
+    are cut are broadcast while there are at most most_hot of them, and joined beyond that.
+    """
     spark, names = df.sparkSession, _names(df.columns)
     table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(filled(shards, slots, weights))], "__slot int, __shard string")
     df, back = set_aside(df, "doc_id", "text")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string")))
     keyed = df.withColumn("__key", key)
     sizes = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-    most = max(1, -(-df.count() // (parts_per_shard * len(shards))))
-    # fewer than parts_per_shard x shards keys have more rows than that
-    hot = F.broadcast(sizes.filter(F.col("__n") > most).select(F.col("__key").alias("__hot"), F.ceil(F.col("__n") / most).alias("__parts")))
+    hot = durable(sizes.filter(F.col("__n") > rows_per_part).select(F.col("__key").alias("__hot"), F.ceil(F.col("__n") / rows_per_part).alias("__parts")))
+    hot = F.broadcast(hot) if hot.count() <= most_hot else hot
     is_hot = F.col("__key").eqNullSafe(F.col("__hot"))
     content = F.xxhash64("text", F.to_json(F.struct(*(c for c in df.columns if c != "text"))))
     cold = keyed.join(hot, is_hot, "left_anti").withColumn("__part", F.lit(0))

@@ -2,8 +2,9 @@
 
 For every participant of a conversation, the dialogue is rendered with that speaker as the assistant and everyone
 else as a named user; system turns stay system turns.  A loss mask marks what the assistant says, with its end
-mark.  Turns are gathered in parts of `PART` turn numbers, so that a very long conversation is many rows, each of
-bounded size; the parts of a perspective, in order, are the whole dialogue.
+mark.  Turns are gathered in parts of `PART` turn numbers, so that a very long conversation is many rows; the parts of a
+perspective, in order, are the whole dialogue.  A part is bounded where turn numbers are: rows that share one number,
+or have none, stay in one part.
 
 Defined results: a null role is the speaker "unknown"; null text is empty; a null turn comes first, in part 0; rows
 that repeat exactly are one turn; ties of a turn are ordered by role, then text; a null conversation id is one

@@ -262,7 +262,7 @@ def test_placement(spark, docs, none):
     assert abs(heavy[0] - 3 * heavy[1]) <= 3
     with pytest.raises(ValueError):
         placement.filled(shards, 100)
-    got = placement.placed(docs.select("doc_id", "text"), shards, 101, parts_per_shard=1)
+    got = placement.placed(docs.select("doc_id", "text"), shards, 101, rows_per_part=10_000)
     assert got.count() == len(rows()) and all(r["shard"] == shards[table[r["slot"]]] for r in got.collect())
     assert len({r["slot"] for r in got.filter("doc_id = 5").collect()}) == 1
     assert placement.placed(none, shards, 101).count() == 0
@@ -287,9 +287,9 @@ def test_placement_of_a_hot_key(spark):
     shards = [f"s{i}" for i in range(7)]
     hot = spark.range(20000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id + 100000 END AS doc_id", "CASE WHEN id % 4 = 0 THEN 'copy' ELSE cast(id AS string) END AS text", "'mine' AS Part", "id % 3 AS slot", "5 AS shard")
     hot = hot.withColumn("slot", F.when(F.col("text") == "copy", 0).otherwise(F.col("slot")))
-    seen = [Counter(map(tuple, placement.placed(hot.repartition(k), shards, 101).collect())) for k in (2, 5)]
+    seen = [Counter(map(tuple, placement.placed(hot.repartition(k), shards, 101, rows_per_part=358).collect())) for k in (2, 5)]
     assert seen[0] == seen[1]
-    got = placement.placed(hot, shards, 101)
+    got = placement.placed(hot, shards, 101, rows_per_part=358)
     assert got.columns == ["doc_id", "text", "Part", "slot", "shard", "placed_part", "placed_slot", "placed_shard"]
     assert collected(got.select(*hot.columns)) == collected(hot)
     table = placement.filled(shards, 101)
@@ -301,6 +301,20 @@ def test_placement_of_a_hot_key(spark):
     assert max(sizes.values()) < 1.3 * 10000 / 28
 
 
+def test_placement_of_a_key_is_its_own(spark):
+    """A key's places don't move with the rest of the table, and neither way of finding the cut keys changes them; slots follow from key and part."""
+    shards = [f"s{i}" for i in range(7)]
+    some = spark.range(600).selectExpr("CASE WHEN id < 300 THEN 7 WHEN id < 302 THEN 8 ELSE id END AS doc_id", "cast(id AS string) AS text")
+    more = some.unionByName(spark.range(5000, 9000).selectExpr("id AS doc_id", "'x' AS text"))
+    places = lambda d, **how: {tuple(r) for r in placement.placed(d, shards, 101, rows_per_part=50, **how).collect()}
+    few = places(some)
+    assert few <= places(more) and few == places(some, most_hot=0)
+    assert {r[2] for r in few if r[0] == 7} == set(range(6)) and {r[2] for r in few if r[0] != 7} == {0}
+    assert all(r[4] == shards[placement.filled(shards, 101)[r[3]]] for r in few)
+    slot = {(r[0], r[2]): r[3] for r in few}
+    assert all(slot[r[0], r[2]] == r[3] for r in few) and len({s for (d, _), s in slot.items() if d == 7}) > 1
+
+
 NAMES = ["th", "TH2", "score", "predicted", "__m", "__q", "__b", "__id", "__th", "__runs", "__copy", "fp", "class", "part", "slot", "shard", "__key", "__part", "uid", "aside0", "__lang", "__script", "__length"]
 
 
