@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def per_question(retrieved: DataFrame, gold: DataFrame, hit_at: int = 5, at: int = 10) -> DataFrame:
@@ -180,26 +183,100 @@ def round_robin(rows: DataFrame, category: str, key: str, seed: str, n: int, ski
     return left.withColumn("turn", F.row_number().over(order)).orderBy("turn", category).limit(n)
 
 
-def lexical(questions: DataFrame, articles: DataFrame, terms_of, least: int = 2, top: int = 3) -> DataFrame:
+def lexical(questions: DataFrame, articles: DataFrame, terms_of, least: int = 2, top: int = 3, most_questions: int = 20_000) -> DataFrame:
     """question_id, rank, id, score: distinct stems shared with title (3), keywords (2) and text (1); ties to the smaller id.
 
-    An inverted-index join on stems: no question meets an article that it shares no stem with.
+    Questions come in groups of about most_questions, each broadcast as an index from stems to questions; a task adds up
+    what its articles score and keeps `top` rows a question, and only those are shuffled: stems of any frequency stay
+    where the articles are.  Rows of one question_id are one question.
     """
-    asked = questions.select("question_id", F.explode(terms_of(F.col("question"))).alias("stem"))
-    fields = [articles.select("id", F.explode(terms_of(F.col(c))).alias("stem"), F.lit(w).alias("w")) for c, w in (("title", 3), ("keywords", 2), ("text", 1))]
-    index = fields[0].union(fields[1]).union(fields[2]).groupBy("id", "stem").agg(F.sum("w").alias("w"))
-    scored = asked.join(index, "stem").groupBy("question_id", "id").agg(F.sum("w").alias("score")).filter(F.col("score") >= least)
+    asked = questions.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_list(terms_of(F.col("question"))))).alias("stems"))
+    groups = max(1, -(-asked.count() // most_questions))
+    fields = articles.select("id", *(terms_of(F.col(c)).alias(c) for c in ("title", "keywords", "text")))
+    out = None
+    for g in range(groups):
+        found = _scored(fields, asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(groups)) == g), least, top)
+        out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("question_id", "rank", "id", "score")
-
-
-def attributed(contexts: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("question_id", "rank", "id", "score")
+
+
+def _scored(fields: DataFrame, asked: DataFrame, least: int, top: int, most_sums: int = 4_000_000) -> DataFrame:
+    """question_id, id, score: the best articles of each task for each question of a group."""
+    rows = asked.collect()  # a group of questions, of bounded size
+    stems = sorted({s for r in rows for s in r["stems"] or []})
+    number = {s: i for i, s in enumerate(stems)}
+    pairs = np.array(sorted((number[s], q) for q, r in enumerate(rows) for s in r["stems"] or []), np.int64).reshape(-1, 2)
+    first = np.searchsorted(pairs[:, 0], np.arange(len(stems) + 1))
+    kind = asked.schema["question_id"].dataType
+    shared = fields.sparkSession.sparkContext.broadcast((number, first, pairs[:, 1].copy(), pa.array([r["question_id"] for r in rows], to_arrow_type(kind))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, first, of_stem, names = shared.value
+        n, step = len(names), max(1, most_sums // max(1, len(names)))
+        best, third = np.empty((3, 0), np.int64), np.full(n, least - 1, np.int64)  # question, score, id
+
+        def added(doc: list[int], stem: list[int], weight: list[int], ids: np.ndarray) -> None:
+            nonlocal best, third
+            d, s, w = (np.array(x, np.int64) for x in (doc, stem, weight))
+            length = first[s + 1] - first[s]
+            at = np.repeat(first[s] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+            sums = np.bincount(np.repeat(d, length) * n + of_stem[at], np.repeat(w, length), len(ids) * n).astype(np.int64)
+            hit = np.flatnonzero((sums >= np.tile(np.maximum(third, least), len(ids))))
+            best = np.concatenate((best, np.stack((hit % n, sums[hit], ids[hit // n]))), 1)
+            order = np.lexsort((best[2], -best[1], best[0]))
+            best = best[:, order]
+            place = np.arange(best.shape[1]) - np.searchsorted(best[0], best[0])
+            best, place = best[:, place < top], place[place < top]
+            last = place == top - 1
+            third[best[0][last]] = best[1][last]
+
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                doc, stem, weight = [], [], []
+                for column, w in ((1, 3), (2, 2), (3, 1)):
+                    for d, found in enumerate(part.column(column).to_pylist()):
+                        known = [number[x] for x in found or [] if x in number]
+                        doc += [d] * len(known)
+                        stem += known
+                        weight += [w] * len(known)
+                if doc and n:
+                    added(doc, stem, weight, own[lo : lo + part.num_rows])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), pa.array(best[2]), pa.array(best[1])], names=["question_id", "id", "score"])
+
+    return fields.select(F.col("id").cast("long").alias("id"), "title", "keywords", "text").mapInArrow(run, f"question_id {kind.simpleString()}, id long, score long")
+
+
+def attributed(contexts: DataFrame, docs: DataFrame, most_contexts: int = 2_000, most_bytes: int = 1 << 20) -> DataFrame:
     """context_id, doc_id where the document's text holds the context's or the context's text holds the document's.
 
-    Lines of a context that only mark a hop (`<1-hop>`) aren't part of it; an empty context or text holds nothing.
+    Lines of a context that only mark a hop (`<1-hop>`) aren't part of it; an empty context or text holds nothing.  Up to
+    a checked number and size the contexts go to every task, and documents are read once without a shuffle; more of
+    them meet the documents on runs of words.
     """
     lines = F.filter(F.split("context", r"\r\n|[\n\r]"), lambda x: ~(F.startswith(x, F.lit("<")) & F.endswith(x, F.lit("-hop>"))))
     c = contexts.select("context_id", F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "").alias("context")).filter("context <> ''").distinct()
+    n, size = c.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("context").cast("long")), F.lit(0))).first()
+    if n <= most_contexts and size <= most_bytes:
+        known = sorted((tuple(r) for r in c.collect()), key=str)
+        shared = docs.sparkSession.sparkContext.broadcast([(i, x, len(x)) for i, x in known])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, context = [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    own = len(text)
+                    for i, x, length in shared.value:
+                        if (x in text) if length <= own else (text in x):
+                            doc.append(k)
+                            context.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(context, ids), batch.column(0).take(pa.array(doc, pa.int64()))], names=["context_id", "doc_id"])
+
+        ids = to_arrow_type(c.schema["context_id"].dataType)
+        schema = f"context_id {c.schema['context_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+        return docs.select("doc_id", "text").filter("text <> ''").mapInArrow(run, schema).distinct()
     d = docs.select("doc_id", "text").filter("text <> ''").distinct()
     inner = _held(c.select(F.col("context_id").alias("a"), F.col("context").alias("needle")), d.select(F.col("doc_id").alias("b"), F.col("text").alias("hay")))
     outer = _held(d.select(F.col("doc_id").alias("a"), F.col("text").alias("needle")), c.select(F.col("context_id").alias("b"), F.col("context").alias("hay")))

@@ -50,7 +50,7 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, metric: str = "cosine",
     """query_id, rank, id, score of each query's k best points, ties to the smaller id.
 
     Queries (query_id, embedding) come in blocks of about most_queries, each broadcast; a partition of points keeps k rows
-    a query of each batch, and only those are shuffled.  A task scores a part of its block at a time.
+    a query, and only those are shuffled.  A task scores a part of its block at a time.
     """
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     n = asked.count()
@@ -70,6 +70,8 @@ def _of_block(block: DataFrame, points: DataFrame, k: int, metric: str, most_sco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = shared.value
+        at, ids, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # the k best so far of every query
+        least = np.full(len(q_ids), -np.inf)
         for batch in batches:
             if not batch.num_rows or not len(q_ids):
                 continue
@@ -82,9 +84,18 @@ def _of_block(block: DataFrame, points: DataFrame, k: int, metric: str, most_sco
                 if metric == "cosine":
                     scale = np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
                     scores = np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                at = np.repeat(np.arange(lo, lo + len(some)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(own[order.ravel()]), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", "id", "score"])
+                even = np.round(scores, 12)
+                bound = least[lo : lo + step]
+                if len(own) > k:
+                    bound = np.maximum(bound, np.partition(even, len(own) - k, axis=1)[:, len(own) - k])
+                row, column = np.nonzero(even >= bound[:, None])  # ties of the k-th among them
+                at, ids, best = np.concatenate((at, lo + row)), np.concatenate((ids, own[column])), np.concatenate((best, scores[row, column]))
+            order = np.lexsort((ids, -np.round(best, 12), at))
+            at, ids, best = at[order], ids[order], best[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            at, ids, best, place = (x[place < k] for x in (at, ids, best, place))
+            least[at[place == k - 1]] = np.round(best[place == k - 1], 12)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(ids), pa.array(best)], names=["query_id", "id", "score"])
 
     narrow = points.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return narrow.mapInArrow(run, "query_id long, id long, score double")

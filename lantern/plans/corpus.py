@@ -14,18 +14,27 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
-@query("src2_json_lines", "SELECT doc_id AS number, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS title, CASE WHEN doc_id % 7 = 0 THEN 'not JSON' WHEN doc_id % 5 = 0 THEN 'missing: title' END AS error FROM documents")
+_MISSING = "concat_ws(', ', CASE WHEN doc_id % 5 = 0 OR coalesce(trim(lang), '') = '' THEN 'title' END, CASE WHEN coalesce(trim(text), '') = '' THEN 'text' END)"
+
+
+@query("src2_json_lines", f"SELECT doc_id AS number, CASE WHEN error IS NULL THEN lang END AS title, CASE WHEN error IS NULL THEN sha256(text) END AS sha, error FROM (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'not JSON' WHEN {_MISSING} <> '' THEN 'missing: ' || {_MISSING} END AS error FROM documents)")
 def src2(spark, d):
-    good = F.to_json(F.struct(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("title"), F.lit("t").alias("text")))
+    good = F.to_json(F.struct(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("title"), "text"))
     lines = _docs(spark, d).select(F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("{bad "), good)).otherwise(good).alias("value"))
-    return corpus.json_lines(lines).select("number", F.when(F.col("error").isNull(), F.col("row.title")).alias("title"), "error")
+    fine = lambda c: F.when(F.col("error").isNull(), c)
+    return corpus.json_lines(lines).select("number", fine(F.col("row.title")).alias("title"), fine(F.sha2("row.text", 256)).alias("sha"), "error")
+
+
+# the text of a section, without the signs that would open another one; compared without white space
+_SECTION = r"sha256('Heading' || n || regexp_replace(translate(coalesce(text, ''), '#<', ''), '\s+', '', 'g'))"
 
 
-@query("src3_markdown_sections", "SELECT doc_id, n AS number, 'Heading ' || n AS heading, CASE WHEN n = 2 THEN 'own' ELSE lang END AS category, 'Heading ' || n || chr(10) || source AS text FROM documents, (SELECT unnest([1, 2, 3]) AS n)")
+@query("src3_markdown_sections", f"SELECT doc_id, n AS number, 'Heading ' || n AS heading, CASE WHEN n = 2 THEN 'own' ELSE lang END AS category, {_SECTION} AS sha FROM documents, (SELECT unnest([1, 2, 3]) AS n)")
 def src3(spark, d):
-    part = lambda n, c: F.concat(F.lit(f"## Heading {n}\n{c}\n"), F.col("source"), F.lit("\n\n"))
+    part = lambda n, c: F.concat(F.lit(f"## Heading {n}\n{c}\n"), F.translate(F.coalesce("text", F.lit("")), "#<", ""), F.lit("\n\n"))
     text = F.concat(F.lit("---\ncategory: "), "lang", F.lit("\nproduct: p\n---\nintro\n\n"), part(1, ""), part(2, "<!-- category: own; status: archived -->"), part(3, ""))
-    return corpus.markdown_sections(_docs(spark, d).select("doc_id", text.alias("value"))).select("doc_id", "number", "heading", F.col("meta")["category"].alias("category"), "text")
+    sections = corpus.markdown_sections(_docs(spark, d).select("doc_id", text.alias("value")))
+    return sections.select("doc_id", "number", "heading", F.col("meta")["category"].alias("category"), F.sha2(F.regexp_replace("text", r"\s+", ""), 256).alias("sha"))
 
 
 @query("src4_html_articles")
@@ -33,10 +42,11 @@ def src4(spark, d):
     return table(spark, d, "pages").select("page_id", corpus.page("html").alias("p")).select("page_id", "p.*")
 
 
-@query("src5_knowledge_base", "SELECT 'a' || doc_id AS id, lang AS product, source || ',' || lang AS keywords FROM documents")
+@query("src5_knowledge_base", "SELECT 'a' || doc_id AS id, lang AS product, source || ',' || lang AS keywords, sha256(text) AS sha FROM documents")
 def src5(spark, d):
-    article = F.struct(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("product"), F.array("source", "lang").alias("keywords"))
-    return corpus.knowledge_base(_docs(spark, d).select(F.to_json(F.struct(F.array(article).alias("articles"))).alias("value"))).select("id", "product", F.array_join("keywords", ",").alias("keywords"))
+    article = F.struct(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("product"), F.array("source", "lang").alias("keywords"), "text")
+    articles = corpus.knowledge_base(_docs(spark, d).select(F.to_json(F.struct(F.array(article).alias("articles"))).alias("value")))
+    return articles.select("id", "product", F.array_join("keywords", ",").alias("keywords"), F.sha2("text", 256).alias("sha"))
 
 
 @query("src7_tagged_logs", "SELECT 'answer' AS kind, count(*) AS n, sum(event_id) AS total FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'score', count(*), sum(event_id) FROM events WHERE event_id % 2 = 1")
@@ -46,9 +56,9 @@ def src7(spark, d):
     return split["answer"].withColumn("kind", F.lit("answer")).unionByName(split["score"].withColumn("kind", F.lit("score"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
 
 
-@query("flt4_required_fields", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'missing title' WHEN doc_id % 5 = 0 THEN 'status draft' END AS reason FROM documents")
+@query("flt4_required_fields", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'missing title' WHEN coalesce(trim(text), '') = '' THEN 'missing text' WHEN doc_id % 5 = 0 THEN 'status draft' END AS reason FROM documents")
 def flt4(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 6 != 0, "t").otherwise(" ").alias("title"), F.lit("x").alias("text"), F.col("source").alias("category"), F.col("lang").alias("product"), F.when(F.col("doc_id") % 5 == 0, "draft").otherwise("actual").alias("status"))
+    rows = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 6 != 0, "t").otherwise(" ").alias("title"), "text", F.col("source").alias("category"), F.col("lang").alias("product"), F.when(F.col("doc_id") % 5 == 0, "draft").otherwise("actual").alias("status"))
     return corpus.accepted(rows).select("doc_id", "reason")
 
 

@@ -83,14 +83,14 @@ _ARTICLES = "SELECT doc_id AS id, source || ' ' || text[:40] AS title, text[41:1
 
 @query(
     "jn5_lexical_search",
-    f"""WITH q AS (SELECT DISTINCT question_id, unnest({_STEMS.format("text")}) AS stem FROM (SELECT conv_id AS question_id, text FROM conversations WHERE turn = 0)),
+    f"""WITH q AS (SELECT DISTINCT question_id, unnest({_STEMS.format("text")}) AS stem FROM (SELECT conv_id || '-' || turn AS question_id, text FROM conversations)),
     f AS (SELECT id, unnest({_STEMS.format("title")}) AS stem, 3 AS w FROM ({_ARTICLES}) UNION ALL SELECT id, unnest({_STEMS.format("keywords")}), 2 FROM ({_ARTICLES}) UNION ALL SELECT id, unnest({_STEMS.format("body")}), 1 FROM ({_ARTICLES}))
     SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank, id, score FROM (SELECT question_id, id, sum(w) AS score FROM q JOIN f USING (stem) GROUP BY 1, 2) WHERE score >= 2) WHERE rank <= 3""",
 )
 def jn5(spark, d):
     docs = table(spark, d, "documents")
     articles = docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", F.substring("text", 1, 40)).alias("title"), F.substring("text", 41, 60).alias("keywords"), F.expr("substring(text, 101)").alias("text"))
-    asked = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    asked = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
     return ev.lexical(asked, articles, texts.terms)
 
 

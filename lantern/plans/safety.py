@@ -58,6 +58,13 @@ def agg26(spark, d):
     return ruled.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.count("rule").alias("blocked"), F.count_if(F.col("rule") == "injection").alias("injection"), F.count_if(F.col("rule") == "encoded_payload").alias("payload"))
 
 
+@query("agg26_false_positives")
+def agg26_false(spark, d):
+    """interface, n, blocked, rules of messages that are no probe: what the checks reject by mistake."""
+    ruled = chat_store.messages(spark, d).select("interface", safety.input_rule(F.col("content")).alias("rule"))
+    return ruled.groupBy("interface").agg(F.count(F.lit(1)).alias("n"), F.count("rule").alias("blocked"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+
+
 @query("str2_screened_messages")
 def str2(spark, d):
     return screening.screened_messages(_probed(spark, d).withColumn("id", F.concat_ws("-", "chat_id", "seq"))).withColumn("categories", F.array_join("categories", ","))

@@ -50,7 +50,7 @@ def answer_deltas(spark, d):
     n = len(PROBES)
     probe = F.element_at(F.array(*map(F.lit, PROBES)), (F.col("chat_id") % n + 1).cast("int"))
     part = F.when(F.col("seq") % 2 == 0, F.substring(probe, 1, 12)).otherwise(F.substring(probe, 13, 100))
-    text = F.when((F.col("chat_id") % 3 == 0) & (F.col("seq") >= 2), F.concat(F.when(F.col("seq") % 2 == 0, F.concat("content", F.lit(" "))).otherwise(F.lit("")), part)).otherwise(F.concat("content", F.lit(" ")))
+    text = F.when(F.col("chat_id") % 3 == 0, F.concat(F.when(F.col("seq") % 2 == 0, F.concat("content", F.lit(" "))).otherwise(F.lit("")), part)).otherwise(F.concat("content", F.lit(" ")))
     return chat_store.messages(spark, d).select(F.col("chat_id").alias("answer_id"), F.col("seq").cast("long").alias("seq"), text.alias("delta"), F.lit(False).alias("last"), F.col("created_at").alias("ts"))
 
 

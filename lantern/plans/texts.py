@@ -167,10 +167,10 @@ def fn9_shortened(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", texts.shortened(F.col("text"), 300).alias("text"))
 
 
-@query("fn28_prefixes", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'passage: ' WHEN 1 THEN 'search_document: ' ELSE '' END || source AS text FROM documents")
+@query("fn28_prefixes", "SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN 'passage: ' WHEN 1 THEN 'search_document: ' ELSE '' END || text) AS sha FROM documents")
 def fn28(spark, sf_dir):
     model = F.element_at(F.array(F.lit("intfloat/multilingual-e5-small"), F.lit("nomic-embed-text"), F.lit("bge-m3")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", texts.with_prefix(model, F.col("source"), False).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(texts.with_prefix(model, F.col("text"), False), 256).alias("sha"))
 
 
 @query("fn29_clean_query", "SELECT conv_id, turn, nullif(trim(split_part(trim(text, E' \\n'), chr(10), 1))[:300], '') AS query FROM conversations")

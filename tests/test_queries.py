@@ -56,7 +56,16 @@ def test_lexical_search_reads_whole_texts(spark, tmp_path):
     docs = [(1, head + "zebra quartz", "src"), (2, head + "walnut", "src"), (3, "zebra", "src"), (4, head + "quartz " + head + "zebra walnut", "src")]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(9, 0, "Zebra, quartz?"), (9, 1, "walnut quartz")], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert sorted(tuple(r) for r in QUERIES["jn5_lexical_search"](spark, str(tmp_path)).select("question_id", "rank", "id", "score").collect()) == [(9, 1, 3, 3), (9, 2, 1, 2), (9, 3, 4, 2)]
+    assert sorted(tuple(r) for r in QUERIES["jn5_lexical_search"](spark, str(tmp_path)).select("question_id", "rank", "id", "score").collect()) == [("9-0", 1, 3, 3), ("9-0", 2, 1, 2), ("9-0", 3, 4, 2), ("9-1", 1, 4, 2)]
+    from lantern.functions import texts
+
+    asked = spark.createDataFrame([(1, "zebra quartz"), (1, "walnut"), (2, None), (3, "absent")], "question_id long, question string")
+    articles = spark.createDataFrame([(i, "zebra" if i % 2 else None, "quartz" if i % 3 else "", "walnut " * (i % 5)) for i in range(1, 40)], "id long, title string, keywords string, text string")
+    score = {i: 3 * (i % 2) + 2 * (i % 3 > 0) + (i % 5 > 0) for i in range(1, 40)}
+    want = [(1, k + 1, i, score[i]) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:3])]
+    for how in ({}, {"most_questions": 1}):
+        assert sorted(map(tuple, evaluation.lexical(asked, articles.repartition(3), texts.terms, **how).collect())) == want
+    assert evaluation.lexical(asked, articles.limit(0), texts.terms).count() == evaluation.lexical(asked.limit(0), articles, texts.terms).count() == 0
 
 
 def test_citations_in_whole_answers(spark, tmp_path):
@@ -72,8 +81,9 @@ def test_attribution_against_brute_force(spark):
     docs = [(100 + i, t) for i, t in enumerate(texts)] + [(190, None), (105, texts[5])]
     clean = lambda t: "\n".join(x for x in (t or "").splitlines() if not (x.startswith("<") and x.endswith("-hop>"))).strip()
     want = {(c, d) for c, x in contexts for d, y in docs if clean(x) and y and (clean(x) in y or y in clean(x))}
-    got = [tuple(r) for r in evaluation.attributed(spark.createDataFrame(contexts, "context_id long, context string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for how in ({}, {"most_contexts": 0}, {"most_bytes": 0}):
+        got = [tuple(r) for r in evaluation.attributed(spark.createDataFrame(contexts, "context_id long, context string"), spark.createDataFrame(docs, "doc_id long, text string"), **how).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     one = spark.createDataFrame(docs, "doc_id long, text string")
     assert evaluation.attributed(spark.createDataFrame([], "context_id long, context string"), one).count() == 0
 
