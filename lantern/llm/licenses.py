@@ -2,13 +2,14 @@
 
 DataFrame functions only.  A text's words (runs of letters and digits, in lower case) give hashes of all runs of
 five.  For templates of up to s shingles, windows of 2 s shingles start every s shingles, so that any occurrence lies
-in one window whole.  Each window and each template have `BANDS` MinHash values, every one a band of its own: a window
-that holds four fifths of a template has a Jaccard similarity of at least 0.18 with it, so that it shares a band with
-a probability of over 0.999.  Equal bands are joined with the templates' (a broadcast table of fixed size), and the
-share of the template's shingles in the window decides.
+in one window whole.  Each window and each template have `BANDS` MinHash values, every one a band of its own.  A window
+that holds four fifths of a template of n shingles has a Jaccard similarity of at least `least_similarity(n)` with it:
+0.125 for a template of one shingle, 0.19 or more from three on; it shares a band with a probability of `found(n)`, over
+0.9998 for any n.  Equal bands are joined with the templates' (a broadcast table of fixed size), and the share of the
+template's shingles in the window decides.
 
-A band can only be equal where the window holds one of the templates' shingles, so windows without any aren't looked
-at; that loses no match.
+A band is only equal where the window holds the template's shingle that made it, so bands are only made for windows
+that hold some shingle of a template; this spares work and loses no match.
 
 Defined results: null, empty and very short texts match nothing; rows of one id count as one document; a template
 shorter than five words is one shingle of all its words and can't be matched inside texts, so there is none; other
@@ -17,10 +18,12 @@ columns aren't looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORDS, BANDS, LEAST = 5, 40, 0.8
+WORDS, BANDS, LEAST = 5, 64, 0.8
 
 #: Wordings of public licenses' notices.
 NOTICES = {
@@ -44,10 +47,40 @@ NOTICES = {
     "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
     "MIT": "Released under the MIT License.",
     "MIT-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
 
+def size_class(shingles: int) -> int:
+    """Windows of the class hold twice so many shingles."""
+    return max(4, 1 << (shingles - 1).bit_length())
+
+
+def least_similarity(shingles: int) -> float:
+    """Of a template and a window that holds four fifths of it."""
+    held = math.ceil(LEAST * shingles)
+    return held / (2 * size_class(shingles) + shingles - held)
+
+
+def found(shingles: int) -> float:
+    """The probability that such a window shares a band with the template."""
+    return 1 - (1 - least_similarity(shingles)) ** BANDS
+
+
 def _let(value: Column, body) -> Column:
     """body of the value, which is computed once."""
     return F.transform(F.array(value), body)[0]
