@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -141,6 +143,45 @@ def trigram_buckets(text: Column, dims: int = 4096) -> Column:
     return F.transform(triples, bucket)
 
 
+def trigram_counts(rows: DataFrame, keys: list[str], text: str, dims: int = 4096) -> DataFrame:
+    """keys, bucket, n: the buckets of `trigram_buckets` with their counts, as rows; rows of equal keys are added up, null text has none.
+
+    One Arrow pass counts a batch's triples as numbers and hashes each distinct one once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}
+        for batch in batches:
+            row, code, count = [], [], []
+            for k, low in enumerate(batch.column(len(keys)).to_pylist()):
+                if low is None:
+                    continue
+                letters = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                if len(letters) < 3:
+                    letters = np.append(letters, np.full(3 - len(letters), 0x1FFFFF, np.uint64))  # no letter
+                codes, n = np.unique((letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:], return_counts=True)
+                row.append(np.full(len(codes), k))
+                code.append(codes)
+                count.append(n)
+            if not row:
+                continue
+            distinct, at = np.unique(np.concatenate(code), return_inverse=True)
+            for c in distinct.tolist():
+                if c not in known:
+                    triple = "".join(chr(x) for x in (c >> 42, (c >> 21) & 0x1FFFFF, c & 0x1FFFFF) if x != 0x1FFFFF)
+                    known[c] = int.from_bytes(hashlib.md5(triple.encode("utf-8", "surrogatepass")).digest()[:4], "little") % dims
+            bucket = np.array([known[c] for c in distinct.tolist()], np.int64)[at]
+            pairs, inverse = np.unique(np.concatenate(row) * dims + bucket, return_inverse=True)
+            n = np.bincount(inverse, np.concatenate(count)).astype(np.int64)
+            where = pa.array(pairs // dims)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(where) for i in range(len(keys))), pa.array(pairs % dims), pa.array(n)], names=[*keys, "bucket", "n"])
+
+    low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    narrow = rows.select(*keys, low.alias("__low"))
+    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
+    return narrow.mapInArrow(run, schema).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+
+
 def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = 128, tokens: int = 8192) -> DataFrame:
     """key, vector for each distinct text: embed runs on batches bounded by count and by tokens (a quarter of the bytes)."""
 

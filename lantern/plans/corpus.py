@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking
 from ..sources import corpus
+from ..sources.shared import shared_folder
 from ..streaming import chats as streams
 from .registry import query, table
 
@@ -14,6 +17,16 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
+@query("src1_corpus_files", "SELECT source AS category, count(*) AS lines, sum(length(replace(replace(text, chr(10), ' '), chr(13), ' ')))::BIGINT AS chars FROM documents WHERE source NOT IN ('src3', 'src5') AND text IS NOT NULL GROUP BY source")
+def src1(spark, d):
+    """The documents as files in a folder for each category, listed without two ignored folders and read whole."""
+    root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    _docs(spark, d).filter("text IS NOT NULL").select("source", F.translate("text", "\n\r", "  ").alias("value")).write.partitionBy("source").text(root)
+    found = corpus.files(spark, root, ["source=src3/", "source=src5/"]).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("category"), F.col("content").cast("string").alias("text"))
+    lines = found.select("category", F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("category").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line").cast("long")).alias("chars"))
+
+
 _MISSING = "concat_ws(', ', CASE WHEN doc_id % 5 = 0 OR coalesce(trim(lang), '') = '' THEN 'title' END, CASE WHEN coalesce(trim(text), '') = '' THEN 'text' END)"
 
 

@@ -61,6 +61,12 @@ def _evidence(spark, d):
     return docs.join(b, "question").select("question", "doc_id", F.contains("chunk", F.col("piece")).alias("held")).withColumn("rank", rank)
 
 
+@query("set3_intersections", "SELECT l_orderkey AS question, len(list_distinct(list(l_partkey % 20))) AS found, len(list_distinct(list(l_suppkey % 20))) AS relevant, len(list_intersect(list(l_partkey % 20), list(l_suppkey % 20))) AS shared FROM lineitem GROUP BY 1")
+def set3(spark, d):
+    sets = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("question")).agg(F.collect_set(F.col("l_partkey") % 20).alias("a"), F.collect_set(F.col("l_suppkey") % 20).alias("b"))
+    return sets.select("question", F.size("a").alias("found"), F.size("b").alias("relevant"), F.size(F.array_intersect("a", "b")).alias("shared"))
+
+
 @query("jn9_evidence_containment", f"SELECT question, doc_id, held FROM ({_EVIDENCE})")
 def jn9(spark, d):
     return _evidence(spark, d).select("question", "doc_id", "held")

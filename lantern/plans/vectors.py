@@ -124,8 +124,7 @@ def agg25(spark, sf_dir):
     SELECT conv_id, turn, md5(substr(low, i, 3)) AS h FROM (SELECT conv_id, turn, ' ' || lower(text) || ' ' AS low, unnest(range(1, greatest(length(text), 1) + 1)) AS i FROM conversations))) GROUP BY ALL""",
 )
 def fn26(spark, sf_dir):
-    hashed = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(vectors.trigram_buckets(F.col("text"))).alias("bucket"))
-    return hashed.groupBy("conv_id", "turn", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return vectors.trigram_counts(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
 
 def _lengths(texts: list[str]) -> np.ndarray:

@@ -53,3 +53,11 @@ def test_shortened(spark):
     got = [r[0] for r in rows.select(texts.shortened(F.col("t"), 100)).collect()]
     note = lambda cut, n: f"\n[…текст обрезан: показано {cut} из {n} символов]"
     assert got == ["a" * 95 + note(95, 146), "a" * 100 + note(100, 200), "short", None, ("a b " * 40)[:99].rstrip() + note(99, 160)]
+
+
+def test_trigram_counts_are_the_buckets(spark):
+    rows = spark.createDataFrame([(1, "Hello, hello hello"), (2, ""), (3, None), (4, "x"), (5, "日本語 🎉 é" * 50), (1, "again"), (None, "key")], "k int, t string")
+    got = {(r["k"], r["bucket"]): r["n"] for r in vectors.trigram_counts(rows, ["k"], "t").collect()}
+    exploded = rows.filter("t IS NOT NULL").select("k", F.explode(vectors.trigram_buckets(F.col("t"))).alias("bucket"))
+    assert got == {(r["k"], r["bucket"]): r["n"] for r in exploded.groupBy("k", "bucket").agg(F.count("*").alias("n")).collect()}
+    assert vectors.trigram_counts(rows.limit(0), ["k"], "t").count() == 0
