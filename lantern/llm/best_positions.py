@@ -208,19 +208,13 @@ def ranked(docs: DataFrame, items: DataFrame, plan: Search = Search()) -> DataFr
     out = None
     for g in range(groups):
         asked = queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()  # about plan.most_terms terms of the stated set of queries
-        found = _of_group(docs, sorted(asked, key=lambda r: (r["item_id"] is None, r["item_id"] or 0)), plan)
-        found = found.join(F.broadcast(_numbers(docs, asked, items)), "query").drop("query")
+        names = docs.sparkSession.createDataFrame([(q, r["item_id"]) for q, r in enumerate(asked)], f"query int, item_id {items.schema['item_id'].dataType.simpleString()}")
+        found = _of_group(docs, asked, plan).join(F.broadcast(names), "query").drop("query")
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= plan.k).select("item_id", "rank", "doc_id", "score")
 
 
-def _numbers(docs: DataFrame, asked: list, items: DataFrame) -> DataFrame:
-    """query, item_id of a group of queries."""
-    rows = sorted(((r["item_id"] is None, r["item_id"] or 0, r["item_id"]) for r in asked))
-    return docs.sparkSession.createDataFrame([(q, r[2]) for q, r in enumerate(rows)], f"query int, item_id {items.schema['item_id'].dataType.simpleString()}")
-
-
 def _of_group(docs: DataFrame, asked: list, plan: Search) -> DataFrame:
     vocabulary = sorted({t for r in asked for t in r["terms"]})
     number = {t: i for i, t in enumerate(vocabulary)}

@@ -167,26 +167,29 @@ PATH = "array<struct<left:binary,right:binary>>"
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[dict, list[bytes], list[list[tuple[bytes, bytes]]]]]:
+    """Of each builder: its row, its leaves, and for every leaf the siblings up to the top."""
     for j in range(batch.num_rows):
         row = {c: batch.column(k)[j].as_py() for k, c in enumerate(batch.schema.names)}
         log = [row["log"][k : k + 64] for k in range(0, len(row["log"]), 64)]
         sizes = counts(len(row["ids"]), LEVELS if row["n"] > BUILDER else None)
         above = [(s["left"], s["right"]) for s in row["path"]]
-        yield row, log, [own + above for own in siblings(log, sizes)]
+        yield row, [log[position(0, k, sizes)] for k in range(sizes[0])], [own + above for own in siblings(log, sizes)]
 
 
 def paths(tier: DataFrame, above: DataFrame) -> DataFrame:
-    """g, block (of the tier below), subroot, path from that builder's root up to the top; above has the same for this tier's builders."""
+    """g, place, id, leaf, subroot, path (to the top) of every leaf of a tier; above has g, block, subroot, path of the tier's builders."""
+    steps = pa.list_(pa.struct([("left", pa.binary()), ("right", pa.binary())]))
+    kind = tier.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, found in _unpacked(batch):
-                n = len(found)
-                own = pa.array([[{"left": a, "right": b} for a, b in p] for p in found], pa.list_(pa.struct([("left", pa.binary()), ("right", pa.binary())])))
-                first = row["block"] * BUILDER
-                yield pa.RecordBatch.from_arrays([pa.array([row["g"]] * n), pa.array(range(first, first + n), pa.int64()), pa.array([row["subroot"]] * n, pa.string()), own], names=["g", "block", "subroot", "path"])
+            at = batch.schema.get_field_index("ids")
+            for j, (row, leaves, found) in enumerate(_unpacked(batch)):
+                n, first = len(found), row["block"] * BUILDER
+                own = pa.array([[{"left": a, "right": b} for a, b in p] for p in found], steps)
+                yield pa.RecordBatch.from_arrays([pa.array([row["g"]] * n), pa.array(range(first, first + n), pa.int64()), batch.column(at)[j].values, pa.array([x.decode() for x in leaves]), pa.array([row["subroot"]] * n, pa.string()), own], names=["g", "place", "id", "leaf", "subroot", "path"])
 
-    return tier.join(above, ["g", "block"]).mapInArrow(run, f"g string, block long, subroot string, path {PATH}")
+    return tier.join(above, ["g", "block"]).mapInArrow(run, f"g string, place long, id {kind}, leaf string, subroot string, path {PATH}")
 
 
 def proved(tier: DataFrame, above: DataFrame) -> DataFrame:
@@ -196,9 +199,8 @@ def proved(tier: DataFrame, above: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            for j, (row, log, found) in enumerate(_unpacked(batch)):
-                n, sizes = len(found), counts(len(found), LEVELS if row["n"] > BUILDER else None)
-                leaves = [log[position(0, k, sizes)] for k in range(n)]
+            for j, (row, leaves, found) in enumerate(_unpacked(batch)):
+                n = len(found)
                 proofs = [digest(b"".join(left + right for left, right in p)).decode() for p in found]
                 roots = [folded(x if y is None else y.encode(), p).decode() for x, y, p in zip(leaves, row["others"], found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -232,32 +234,20 @@ def manifest(df: DataFrame) -> DataFrame:
     root = next((r["root"] for r in _tops(upper).collect()), None)  # one digest
     # from the top down: of every source, then of every builder, the siblings that all its leaves share
     over = upper[-1].select("g", "block", F.lit(None).cast("string").alias("subroot"), F.array().cast(PATH).alias("path"))
+    below_of = lambda found: found.select("g", F.col("place").alias("block"), "subroot", "path")
     for tier in reversed(upper[1:]):
-        over = paths(tier, over)
-    of_source = _of_sources(upper[0], over)
+        over = below_of(paths(tier, over))
+    of_source = durable(paths(upper[0], over).select(F.col("id").alias("g"), F.col("leaf").alias("subroot"), "path"))
     above = None
     for k in reversed(range(len(below))):
         ended = below[k].filter(F.col("n") <= BUILDER).select("g", "block").join(of_source, "g")
         above = ended if above is None else ended.unionByName(above)
         if k:
-            above = durable(paths(below[k], above))
+            above = durable(below_of(paths(below[k], above)))
     found = proved(below[0], above)
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", F.lit(root).cast("string").alias("root"), F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.lit(root)).alias("verified"))
 
 
-def _of_sources(tier: DataFrame, above: DataFrame) -> DataFrame:
-    """g (source), subroot, path of every leaf of the upper tree's lowest tier; a checkpoint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, log, found in _unpacked(batch):
-                sizes = counts(len(found), LEVELS if row["n"] > BUILDER else None)
-                own = pa.array([[{"left": a, "right": b} for a, b in p] for p in found], pa.list_(pa.struct([("left", pa.binary()), ("right", pa.binary())])))
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.string()), pa.array([log[position(0, k, sizes)].decode() for k in range(len(found))]), own], names=["g", "subroot", "path"])
-
-    return durable(tier.join(above, ["g", "block"]).mapInArrow(run, f"g string, subroot string, path {PATH}"))
-
-
 def append_log(df: DataFrame) -> DataFrame:
     """source, position, level, place, digest of every node of each source's tree; positions are those of one log over the whole source."""
 
