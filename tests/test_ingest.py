@@ -8,6 +8,15 @@ from lantern.streaming import ingest
 SCHEMA = "file string, doc_id string, text string, error string, at string"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """These tables are tiny: two tasks a shuffle, and two state stores."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def embed(texts):
     if any("poison" in t for t in texts):
         raise ValueError("the model can't take this")

@@ -14,6 +14,15 @@ START = dt.datetime(2024, 1, 1)
 DELTAS = "answer_id long, seq long, delta string, last boolean, ts timestamp"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """These tables are tiny: two tasks a shuffle, and two state stores."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def second(n):
     return START + dt.timedelta(seconds=n)
 

@@ -16,9 +16,19 @@ from lantern.plans.safety import PROBES
 from lantern.streaming import moderation
 
 SF = "/root/testdata/sf0.001"
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """These tables are tiny: two tasks a shuffle, and two state stores."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
