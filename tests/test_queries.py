@@ -68,6 +68,25 @@ def test_lexical_search_reads_whole_texts(spark, tmp_path):
     assert evaluation.lexical(asked, articles.limit(0), texts.terms).count() == evaluation.lexical(asked.limit(0), articles, texts.terms).count() == 0
 
 
+def test_lexical_search_over_many_groups(spark):
+    """Stems that all, some and few questions have, sums over 255, in one group and in many: as counted one by one; the stems are made once for all groups."""
+    from lantern.functions import texts
+
+    def said(i, kinds, n):
+        return " ".join(f"{chr(97 + k)}{j}q" for k in range(kinds) for j in range(n) if (i * 7 + j * (k + 3)) % (k + 2) == 0)
+
+    asked = [(i, said(i, 4, 330) if i < 3 else said(i, 6, 20)) for i in range(45)]
+    articles = [(100 - i, said(i, 2, 9), said(i + 1, 3, 9), said(i, 6, 330 if i < 3 else 25)) for i in range(60)]
+    score = lambda q, a: sum(w * len(set(q.split()) & set(t.split())) for w, t in zip((3, 2, 1), a[1:], strict=True))
+    want = sorted((q, k + 1, i, -s) for q, t in asked for k, (s, i) in enumerate(sorted((-score(t, a), a[0]) for a in articles if score(t, a) >= 2)[:3]))
+    assert max(x[3] for x in want) > 255
+    q, a = spark.createDataFrame(asked, "question_id long, question string"), spark.createDataFrame(articles, "id long, title string, keywords string, text string")
+    for how in ({}, {"most_questions": 5}):
+        found = evaluation.lexical(q, a.repartition(2), texts.terms, **how)
+        assert sorted(map(tuple, found.collect())) == want
+    assert "InMemoryTableScan" in found._jdf.queryExecution().toString()
+
+
 def test_citations_in_whole_answers(spark, tmp_path):
     head = "word " * 400
     spark.createDataFrame([(6, head + "late [3, 4] , end")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
