@@ -138,3 +138,21 @@ def test_python_rules_are_the_expressions_rules(spark):
     form = safety.for_match(F.col("t"))
     got = {r["i"]: (r["form"], ",".join(r["rules"])) for r in rows.withColumn("form", form).select("i", "form", safety.moderated(F.col("form")).alias("rules")).collect()}
     assert got == {i: (moderation.form(t), ",".join(moderation.matched(t))) for i, t in enumerate(TEXTS)}
+
+
+def test_rate_limit_shares_state_and_calls(spark):
+    """Clients of one bucket, a null one and an empty name among them, keep windows of their own; the batch twin makes no call for a client."""
+    rows = [(None if c == 0 else "" if c == 1 else f"c{c}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * k + c % 5)) for c in range(23) for k in range(20)]
+    r = spark.createDataFrame(rows, "client string, ts timestamp")
+    want, batch = [], chats.rate_limited_batch(r, 2, 30.0)
+    for c in {c for c, _ in rows}:
+        opened, n = None, 0
+        for t in sorted(t for d, t in rows if d == c):
+            if opened is None or (t - opened).total_seconds() >= 30:
+                opened, n = t, 0
+            n += 1
+            want.append((c or str(c), t, n <= 2))
+    found = lambda d: sorted((x["client"] or str(x["client"]), x["ts"], x["allowed"]) for x in d.collect())
+    assert found(batch) == sorted(want)
+    assert "InPandas" not in batch._jdf.queryExecution().toString()
+    assert found(replay.replayed(r, "ts", lambda s: chats.rate_limited(s, 2, 30.0, buckets=2))) == sorted(want)
