@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,16 +144,28 @@ def trigram_buckets(text: Column, dims: int = 4096) -> Column:
     return F.transform(triples, bucket)
 
 
-def trigram_counts(rows: DataFrame, keys: list[str], text: str, dims: int = 4096) -> DataFrame:
+def trigram_counts(rows: DataFrame, keys: list[str], text: str, dims: int = 4096, most_letters: int = 500_000, most_known: int = 1_000_000) -> DataFrame:
     """keys, bucket, n: the buckets of `trigram_buckets` with their counts, as rows; rows of equal keys are added up, null text has none.
 
-    One Arrow pass counts a batch's triples as numbers and hashes each distinct one once.
+    One Arrow pass counts the triples of some rows as numbers and hashes each distinct one once.  It takes rows of about
+    most_letters bytes at a time and remembers at most most_known hashes, so its memory doesn't grow with texts or table.
     """
 
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(len(keys))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most_letters, "right")))
+                yield batch.slice(lo, hi - lo)
+                lo = hi
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
-        for batch in batches:
+        for batch in bounded(batches):
             row, code, count = [], [], []
+            if len(known) > most_known:
+                known.clear()
             for k, low in enumerate(batch.column(len(keys)).to_pylist()):
                 if low is None:
                     continue

@@ -112,3 +112,10 @@ def test_last_beneath_of_deep_traces_and_cycles(spark):
     ring = [(2, 1, 3, "answer", 1), (2, 2, 1, "llm", 5), (2, 3, 2, "llm", 4), (3, 1, None, "answer", 1)]
     got = evaluation.last_beneath(spark.createDataFrame(deep + ring, "trace_id long, span_id long, parent_id long, span_kind string, start_time long"), "answer", "llm")
     assert {tuple(r) for r in got.collect()} == {(1, 1, 70), (1, 30, 70), (2, 1, 2), (3, 1, None)}
+
+
+def test_trigrams_of_long_batches_in_parts(spark):
+    """A batch is counted in parts by size, and hashes that are forgotten are made again: the same counts."""
+    rows = spark.createDataFrame([(i, None if i == 3 else f"some Text {i} " * (i % 7)) for i in range(60)], "id long, text string").coalesce(1)
+    counts = lambda **how: sorted(map(tuple, vectors.trigram_counts(rows, ["id"], "text", **how).collect()))
+    assert counts(most_letters=40, most_known=5) == counts(most_letters=1) == counts()
