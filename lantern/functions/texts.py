@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ PII = {
     "INN": r"(?<![\w-])(?:\d{10}|\d{12})(?![\w-])",
     "PASSPORT": r"\b\d{2}\s?\d{2}\s?\d{6}\b",
 }
+#: What every match of these has: texts without it, most of all, need no other pattern.
+PII_SIGNS = r"[@\p{Nd}]|eyJ|[spr]k-[A-Za-z0-9_-]{16}"
 # Keys of log rows that are never masked.
 TECHNICAL_KEYS = ("timestamp", "level", "logger", "request_id", "trace_id", "prompt_hash")
 # Fixed value: the form of a citation.
@@ -46,18 +50,28 @@ PREFIXES = (
 
 def masked(text: Column) -> Column:
     """The text with personal data replaced by [LABEL]; Unicode-aware."""
+    found = text
     for label, pattern in PII.items():
-        text = F.regexp_replace(text, "(?U)" + pattern, f"[{label}]")
-    return text
+        found = F.regexp_replace(found, "(?U)" + pattern, f"[{label}]")
+    return F.when(text.rlike(PII_SIGNS), found).otherwise(text)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value made once however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _counted(label: str, pattern: str) -> Callable[[Column], Column]:
+    return lambda s: F.struct(F.regexp_replace(s["t"], pattern, f"[{label}]").alias("t"), F.concat(s["n"], F.array(F.regexp_count(s["t"], F.lit(pattern)))).alias("n"))
 
 
 def masked_counts(text: Column) -> Column:
     """A map of label to number of replacements, each counted at its own step."""
-    counts = []
+    state = F.struct(text.alias("t"), F.array().cast("array<int>").alias("n"))
     for label, pattern in PII.items():
-        counts += [F.lit(label), F.regexp_count(text, F.lit("(?U)" + pattern))]
-        text = F.regexp_replace(text, "(?U)" + pattern, f"[{label}]")
-    return F.create_map(*counts)
+        state = _let(state, _counted(label, "(?U)" + pattern))
+    labels = F.array(*map(F.lit, PII))
+    return F.when(text.rlike(PII_SIGNS) | text.isNull(), F.map_from_arrays(labels, state["n"])).otherwise(F.map_from_arrays(labels, F.array_repeat(F.lit(0), len(PII))))
 
 
 def preview(text: Column) -> Column:

@@ -114,3 +114,19 @@ def test_payloads_by_the_decoders_of_python(spark):
     assert values(spark, lambda c: safety.from_base32(c).cast("string"), ["NBSWY3DP", "NBSWY3DPEB3W64TMMQ", "A", "nope"]) == ["hello", "hello world", None, None]
     assert values(spark, safety.visible, ["a\u200bb", "\ufb01ne", None, "x\ty"]) == ["ab", "fine", None, "x\ty"]
     assert values(spark, safety.has_hidden, ["a\u200bb", "tag\U000e0041", "plain text with one \u200b hidden", None, ""]) == [True, True, False, False, False]
+
+
+def test_personal_data_is_looked_for_where_its_signs_are(spark):
+    """Counts and masks are those of the patterns one after another; texts without any sign skip them, and each step is made once."""
+    import re
+
+    said = ["plain words only", "", None, "a@b.io and c@d.org", "sk-" + "a" * 16 + " risk-taking", "eyJabcde.eyJabcde.x", "card 1234 5678 1234 5678, 12345678901234567890", "тел. +7 912 345-67-89; ИНН 1234567890",
+            "١٢٣٤٥٦٧٨٩٠ in Arabic digits", "123-456-789 01", "pk-short"]
+    rows = spark.createDataFrame(list(enumerate(said)), "i long, t string")
+    for i, counts, mask in rows.select("i", texts.masked_counts(F.col("t")), texts.masked(F.col("t"))).collect():
+        t, want = said[i], {}
+        for label, pattern in texts.PII.items():
+            t, want[label] = (None, None) if t is None else re.subn(pattern, f"[{label}]", t)
+        assert (counts, mask) == (want, t)
+    plan = rows.select(F.explode(texts.masked_counts(F.col("t"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == len(texts.PII) and r"[@\p{Nd}]" in plan
