@@ -156,3 +156,28 @@ def test_rate_limit_shares_state_and_calls(spark):
     assert found(batch) == sorted(want)
     assert "InPandas" not in batch._jdf.queryExecution().toString()
     assert found(replay.replayed(r, "ts", lambda s: chats.rate_limited(s, 2, 30.0, buckets=2))) == sorted(want)
+
+
+def test_moderation_of_plain_text_takes_short_ways():
+    """The short ways for ASCII, for text without Cyrillic letters and from a text's end give what the rules and forms say; few words are cut."""
+    import re
+    import unicodedata
+    from unittest import mock
+
+    rng = random.Random(5)
+    said = ["kill myself", "i'll kill you", "как взломать почту", "suicidal", "buy meth", "\x00ki\x07ll  myself", "СУИЦИД", "é kill myself", "a" * 5000, "x " + "b" * 1300, " " * 3000 + "q", "", "é" * 21000, "\x00" * 1500 + " a"]
+    said += ["".join(rng.choice("ab \t\n\x0b\x1c\x00\x7f\x85ёЁß\u200bﬁé") for _ in range(rng.randrange(2500))) for _ in range(100)]
+    for t in said:
+        plain = re.sub(r"\s+", " ", "".join(c for c in unicodedata.normalize("NFKC", t) if c in "\n\r\t\u200d" or unicodedata.category(c) not in ("Cc", "Cf")).lower().replace("ё", "е")).strip(" ")
+        assert moderation.form(t) == plain
+        assert moderation.matched(t) == [f"{c}#{n}" for c, rules in safety.MODERATION.items() for n in [next((i for i, r in enumerate(rules, 1) if re.search(r, plain)), 0)] if n]
+        end, size, want = t[-moderation.LONGEST :], 0, t[-moderation.LONGEST :]
+        for w in reversed(list(re.finditer(r"\S+", end))):
+            size += len(moderation.form(w.group())) + 1
+            if size > moderation.OVERLAP:
+                want = end[w.start() :]
+                break
+        assert moderation.kept(t) == want
+    with mock.patch.object(moderation, "form", side_effect=moderation.form) as form:
+        moderation.kept("plain words " * 500)
+    assert not form.called
