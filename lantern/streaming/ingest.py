@@ -112,7 +112,10 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _embedded(chunks: DataFrame, job: Ingest) -> DataFrame:
-    """key, vector, error of each distinct text; texts of a batch that fails are tried one by one."""
+    """chunks (doc_id, number, text, tokens, key) with vector, error; texts of a batch that fails are tried one by one.
+
+    Equal keys come one after another, so that each distinct text goes through the model once and texts move once.
+    """
     embed, size = job.embed, job.batch
 
     def one(text: str) -> tuple[np.ndarray | None, str | None]:
@@ -121,19 +124,27 @@ def _embedded(chunks: DataFrame, job: Ingest) -> DataFrame:
         except Exception as e:  # what a model throws is unknown; the document becomes pending
             return None, f"{type(e).__name__}: {e}"[:300]
 
+    def several(content: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+        try:
+            return [(v, None) for v in np.asarray(embed(content), np.float32)]
+        except Exception:
+            return [one(t) for t in content]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}  # the last key
         for batch in batches:
-            for lo in range(0, batch.num_rows, size):
-                part = batch.slice(lo, size)
-                content = part.column(1).to_pylist()
-                try:
-                    found = [(v, None) for v in np.asarray(embed(content), np.float32)]
-                except Exception:
-                    found = [one(t) for t in content]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())], names=["key", "vector", "error"])
+            keys = batch.column(4).to_pylist()
+            first = {k: i for i, k in reversed(list(enumerate(keys))) if k not in known}
+            fresh = sorted(first, key=first.get)
+            for lo in range(0, len(fresh), size):
+                some = fresh[lo : lo + size]
+                known |= zip(some, several(batch.column(2).take(pa.array([first[k] for k in some])).to_pylist()), strict=True)
+            found = [known[k] for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())], names=[*batch.schema.names[:4], "vector", "error"])
+            known = {k: known[k] for k in keys[-1:]} or known
 
-    distinct = chunks.groupBy("key").agg(F.first("text").alias("text"))
-    return distinct.select("key", "text").mapInArrow(run, "key string, vector array<float>, error string")
+    ordered = chunks.select("doc_id", "number", "text", "tokens", "key").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(run, "doc_id string, number int, text string, tokens long, vector array<float>, error string")
 
 
 def ingested(incoming: DataFrame, job: Ingest, version: int) -> None:
@@ -144,28 +155,36 @@ def ingested(incoming: DataFrame, job: Ingest, version: int) -> None:
         return
     came = incoming.withColumn("text", F.coalesce("text", F.lit(""))).persist()
     try:
-        last = came.groupBy("file").agg(F.max("at").alias("at"))
-        came_last = came.join(last, ["file", "at"]).dropDuplicates(["file", "doc_id"])
+        hashed = F.sha2(F.concat_ws("\x1f", F.lit(job.label), "file", "text"), 256)
+        # what came without its text, which the hash names: only texts of new and changed documents move
+        rows = came.select("file", "doc_id", "at", "error", hashed.alias("hash"))
+        last = rows.groupBy("file").agg(F.max("at").alias("at"))
+        came_last = rows.join(last, ["file", "at"]).groupBy("file", "doc_id").agg(F.max("error").alias("error"), F.min("hash").alias("hash"))
         failed = came_last.filter("error IS NOT NULL").groupBy("file").agg(F.max("error").alias("file_error"))
         known = documents(spark, job.folder, version)
-        again = known.filter("status = 'pending'").join(last, "file", "left_anti").select("file", "doc_id", "text")
-        hashed = F.sha2(F.concat_ws("\x1f", F.lit(job.label), "file", "text"), 256)
-        current = came_last.join(failed, "file", "left_anti").select("file", "doc_id", "text").unionByName(again).withColumn("hash", hashed)
+        again = known.filter("status = 'pending'").join(last, "file", "left_anti").select("file", "doc_id", "text").withColumn("hash", hashed)
+        current = came_last.join(failed, "file", "left_anti").select("file", "doc_id", "hash").unionByName(again.drop("text"))
+        texts_of = came.select("file", "doc_id", "text").withColumn("hash", hashed).unionByName(again)
         touched = last.select("file").unionByName(again.select("file")).distinct()
         old = known.join(touched, "file", "left_semi").select(F.col("file").alias("old_file"), "doc_id", F.col("hash").alias("old_hash"), (F.col("status") == "live").alias("live"))
         both = current.join(old, "doc_id", "full_outer").withColumn("same", F.coalesce(F.col("live") & (F.col("hash") == F.col("old_hash")), F.lit(False)))
         # 1. chunks of new and changed documents, each text through the model once
-        fresh = both.filter("file IS NOT NULL AND NOT same").select("doc_id", "text")
+        named = ["file", "doc_id", "hash"]
+        fresh = texts_of.join(both.filter("file IS NOT NULL AND NOT same").select(*named), named, "left_semi").dropDuplicates(named).select("doc_id", "text")
         chunks = chunking.chunked(fresh, job.size, job.overlap, job.how).withColumn("key", F.sha2("text", 256))
-        vectors = _embedded(chunks, job)
         node = texts.uuid5(NODES, F.concat("doc_id", F.lit("#"), F.col("number").cast("string")))
-        points = chunks.join(vectors, "key").select(node.alias("id"), "doc_id", "number", "text", "tokens", "vector", "error")
+        points = _embedded(chunks, job).select(node.alias("id"), "doc_id", "number", "text", "tokens", "vector", "error")
         _write(points, job.folder, "points", version)
         # 2. documents: live, pending where a chunk has no vector, gone
         bad = _read(spark, job.folder, "points", POINTS).filter((F.col("v") == version) & F.col("vector").isNull()).groupBy("doc_id").agg(F.max(F.coalesce("error", F.lit("no vector"))).alias("error"))
         changed = both.filter("NOT same").join(bad, "doc_id", "left")
         status = F.when(F.col("file").isNull(), "gone").when(F.col("error").isNotNull(), "pending").otherwise("live")
-        docs = changed.select(F.coalesce("file", "old_file").alias("file"), "doc_id", "hash", status.alias("status"), "error", F.when(status == "pending", F.col("text")).alias("text"))
+        docs = changed.select(F.coalesce("file", "old_file").alias("file"), "doc_id", "hash", status.alias("status"), "error")
+        if bad.isEmpty():
+            docs = docs.withColumn("text", F.lit(None).cast("string"))
+        else:
+            kept = texts_of.join(bad, "doc_id", "left_semi").dropDuplicates(named)
+            docs = docs.join(kept, named, "left").withColumn("text", F.when(F.col("status") == "pending", F.col("text"))).select("file", "doc_id", "hash", "status", "error", "text")
         _write(docs, job.folder, "docs", version)
         # 3. the report, and the commit
         pending = _read(spark, job.folder, "docs", DOCS).filter((F.col("v") == version) & (F.col("status") == "pending")).groupBy("file").agg(F.count(F.lit(1)).alias("pending"))

@@ -117,3 +117,25 @@ def test_stream_of_files(spark, tmp_path):
     assert {p[0]: p[2] for p in points} == {"faq/a b.md": "alpha changed", "x.html": "Page text"}
     said = {(r["v"], r["file"]): (r["state"], r["error"]) for r in ingest.reports(spark, own.folder).collect()}
     assert said[1000, "y.bin"] == ("failed", "unsupported: bin") and said[2000, "faq/a b.md"] == ("changed", None)
+
+
+def test_equal_chunks_go_through_the_model_once_and_move_once(spark, tmp_path):
+    """Chunks keep their rows, a text of many documents is embedded once across Arrow batches, and one shuffle is enough."""
+    from lantern.streaming import ingest
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(found):
+        seen.add(len(found))
+        return [[float(len(t))] for t in found]
+
+    rows = [(f"d{i}", 0, "x" * (i % 3 + 1), 1, f"k{i % 3}") for i in range(50)]
+    chunks = spark.createDataFrame(rows, "doc_id string, number int, text string, tokens long, key string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = ingest._embedded(chunks, ingest.Ingest(str(tmp_path), embed, batch=2))
+        assert sorted((r["doc_id"], r["text"], r["vector"], r["error"]) for r in found.collect()) == sorted((d, t, [float(len(t))], None) for d, _, t, _, _ in rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert seen.value == 3
