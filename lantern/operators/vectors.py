@@ -195,20 +195,25 @@ def trigram_counts(rows: DataFrame, keys: list[str], text: str, dims: int = 4096
     return narrow.mapInArrow(run, schema).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
 
 
+def in_batches(keys: list, texts: list[str], embed: Callable[[list[str]], np.ndarray], batch: int = 128, tokens: int = 8192) -> Iterator[pa.RecordBatch]:
+    """key, vector of texts: embed runs on batches bounded by count and by tokens (a quarter of the bytes)."""
+    lo = 0
+    while lo < len(texts):
+        hi, cost = lo, 0
+        while hi < len(texts) and hi - lo < batch and (hi == lo or cost + len(texts[hi].encode()) // 4 <= tokens):
+            cost += len(texts[hi].encode()) // 4
+            hi += 1
+        vectors = np.asarray(embed(texts[lo:hi]), np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi]), pa.array(list(vectors), pa.list_(pa.float32()))], names=["key", "vector"])
+        lo = hi
+
+
 def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = 128, tokens: int = 8192) -> DataFrame:
-    """key, vector for each distinct text: embed runs on batches bounded by count and by tokens (a quarter of the bytes)."""
+    """key, vector for each distinct text, in batches (`in_batches`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            keys, texts, lo = part.column(0).to_pylist(), part.column(1).to_pylist(), 0
-            while lo < len(texts):
-                hi, cost = lo, 0
-                while hi < len(texts) and hi - lo < batch and (hi == lo or cost + len(texts[hi].encode()) // 4 <= tokens):
-                    cost += len(texts[hi].encode()) // 4
-                    hi += 1
-                vectors = np.asarray(embed(texts[lo:hi]), np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi]), pa.array(list(vectors), pa.list_(pa.float32()))], names=["key", "vector"])
-                lo = hi
+            yield from in_batches(part.column(0).to_pylist(), part.column(1).to_pylist(), embed, batch, tokens)
 
     distinct = rows.filter(F.trim(text) != "").groupBy(F.sha2(F.col(text), 256).alias("key")).agg(F.first(text).alias("text"))
     return distinct.select("key", "text").mapInArrow(run, "key string, vector array<float>")

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -123,6 +124,22 @@ def test_semantic_chunks_are_the_text(spark):
     assert chunking.semantic_chunks(df.filter("doc_id = 7"), embed).count() >= 1 and seen.value <= 3 * 2  # distinct groups, for the two uses of the distances
 
 
+def _shuffled(df):
+    """The columns and the partitioning of every exchange of the plan."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    found = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (\w+\(.*?)#", plan)
+    return [({c.split("#")[0] for c in columns.split(", ")}, by) for columns, by in found]
+
+
+def test_semantic_chunks_move_texts_by_document_only(spark):
+    df = spark.createDataFrame([(k, f"One {k}. Two! Three? " * 9) for k in range(9)], "doc_id long, text string").repartition(3)
+    chunks = chunking.semantic_chunks(df, lambda found: np.array([[len(t), 1] for t in found], np.float32))
+    shuffled = _shuffled(chunks)
+    assert any("text" in c for c, _ in shuffled)
+    assert all(c == {"doc_id", "text"} for c, _ in shuffled if c & {"text", "sentence", "group"})  # no sentence and no group of them
+    assert len({r["doc_id"] for r in chunks.collect()}) == 9
+
+
 def test_answer_forms(spark):
     rows = [("Answer.", 2), ("Cites [1].", 2), ("По базе не нашёл, могу", 1), ("Line\n\nИсточники: .", 3), ("Gap\n\n", 1), ("none", None), ("", 1), (None, 1), ("foreign [9]", 2)]
     df = spark.createDataFrame(rows, "a string, n int")
