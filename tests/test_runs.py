@@ -140,6 +140,26 @@ def test_semantic_chunks_move_texts_by_document_only(spark):
     assert len({r["doc_id"] for r in chunks.collect()}) == 9
 
 
+def test_judged_texts_move_once(spark):
+    schema = "id long, question string, response string, contexts array<string>, reference string"
+    rows = spark.createDataFrame([(k % 7, f"q{k % 5}", f"an answer {k % 3} [1]" if k % 4 else " \t", ["c"] if k % 2 else [], "r" if k % 3 else "\n") for k in range(60)], schema).repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+
+    def judge(metric, inputs):
+        calls.add(len(inputs))
+        return [0.5] * len(inputs)
+
+    found = judging.judged(rows, judge)
+    narrow = {"id", "row", "metric", "score", "error", "key", "own", "judged", "why", "min", "asks", "buf"}
+    wide = [(c, by) for c, by in _shuffled(found) if not c <= narrow]
+    assert len(wide) == 1 and wide[0][1].endswith("(row")  # texts go by the row, once for all metrics
+    got = found.collect()
+    plain = {(f"q{k % 5}", k % 3, k % 2) for k in range(60) if k % 4}
+    assert len(got) == 300 and all((r["error"] == judging.EMPTY) == math.isnan(r["score"]) for r in got if r["metric"] == "has_citation")
+    # of these inputs: faithfulness with contexts, relevancy by question and text, both context metrics by question, citation by text
+    assert calls.value == sum(c for *_, c in plain) + len({x[:2] for x in plain}) + 2 * len({q for q, k, c in plain if c and k}) + len({k for _, k, _ in plain})
+
+
 def test_answer_forms(spark):
     rows = [("Answer.", 2), ("Cites [1].", 2), ("По базе не нашёл, могу", 1), ("Line\n\nИсточники: .", 3), ("Gap\n\n", 1), ("none", None), ("", 1), (None, 1), ("foreign [9]", 2)]
     df = spark.createDataFrame(rows, "a string, n int")
