@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
+def durable(df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+    """A checkpoint in the shared folder.
+
+    rows: about how many df has, where that is known; then there are as many files as cores, or one for each per_file rows,
+    and not one for every partition of a shuffle.  On a local file system Spark starts a process for each file it makes.
+    """
     context = df.sparkSession.sparkContext
+    if rows is not None:
+        df = df.coalesce(max(context.defaultParallelism, -(-rows // per_file)))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
@@ -78,7 +84,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges isn't gathered anywhere.
     """
     current = durable(edges.select("a", "b").filter("a <> b").distinct())
-    state = None
+    state, rows = None, current.count()
     for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -86,11 +92,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        current = durable(small.select("e.a", "e.b").filter("a <> b").distinct())
+        current = durable(small.select("e.a", "e.b").filter("a <> b").distinct(), rows)
         seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, rows = seen, seen[0]
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

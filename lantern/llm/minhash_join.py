@@ -309,12 +309,13 @@ def _full_sets(df: DataFrame, chosen: DataFrame, plan: Join) -> DataFrame:
 
 
 def _labelled(df: DataFrame, plan: Join) -> DataFrame:
-    """doc_id, th, class (null without words), n_links of every row."""
+    """doc_id, th, class (null without words), n_links of every row; a checkpoint."""
     base = durable(signatures(df, plan))
+    n = base.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th"))
     per_class = base.filter("fp IS NOT NULL").groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = durable(per_class.select("fp", "copies", "first.doc_id", "first.th", "bands", "sig"))
-    found = durable(_candidates(classes, plan))
+    classes = durable(per_class.select("fp", "copies", "first.doc_id", "first.th", "bands", "sig"), n)
+    found = durable(_candidates(classes, plan), n)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     # blocks of a component: own = this class's block; pairs with every block, the smaller number first
     sized = found.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / plan.block))
@@ -329,12 +330,12 @@ def _labelled(df: DataFrame, plan: Join) -> DataFrame:
     counted = results.filter("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     of_class = classes.select("fp", "copies").join(joined, "fp", "left").join(counted, "fp", "left")
     of_class = of_class.select("fp", F.coalesce("component", "fp").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return base.select("doc_id", "th", "fp").join(of_class, "fp", "left").select("doc_id", "th", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return durable(base.select("doc_id", "th", "fp").join(of_class, "fp", "left").select("doc_id", "th", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), n)
 
 
 def similarity_classes(df: DataFrame, plan: Join = Join()) -> DataFrame:
     """doc_id, class_id (the smallest id that a chain of links reaches), n_links (other rows that are similar enough)."""
-    rows = durable(_labelled(df, plan))
+    rows = _labelled(df, plan)
     least = durable(rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id")))  # so that a large class's rows can be split in the join
     return rows.join(least, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
 
@@ -342,7 +343,7 @@ def similarity_classes(df: DataFrame, plan: Join = Join()) -> DataFrame:
 def one_of_each(df: DataFrame, plan: Join = Join()) -> DataFrame:
     """The rows of df, one for each class: that of the smallest id; rows without words all stay, and columns of any name are kept as they are."""
     df, back = set_aside(df, "doc_id", "text")
-    rows = durable(_labelled(df, plan))
+    rows = _labelled(df, plan)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f")
     chosen = rows.filter("class IS NOT NULL").groupBy("class").agg(first).select(F.col("f.doc_id").alias("doc_id"), F.col("f.th").alias("th"))
     docs = df.withColumn("th", F.xxhash64("text"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lantern.llm import minhash_join
+from lantern.llm import groups, minhash_join
 
 
 def test_a_pair_whose_leaders_are_unlike(spark):
@@ -67,3 +67,26 @@ def test_recall_in_a_band_of_many_unlike_classes(spark):
     lost = sum(ids[i][0] != ids[j][0] for i, j in want)
     assert lost <= 1e-4 * len(want), lost
     assert [ids[i][1] for i in range(len(texts))] == links.tolist()
+
+
+def test_few_files_for_few_rows(spark, monkeypatch):
+    """Rounds over few edges aren't written as a file for each partition of a shuffle."""
+    written = []
+
+    def durable(df, *rows, plain=groups.durable):
+        out = plain(df, *rows)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(groups, "durable", durable)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = groups.components(spark.createDataFrame([(k, k - k % 5) for k in range(200)], "a long, b long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["node"]: r["component"] for r in found} == {k: k - k % 5 for k in range(200)}
+    assert len(written) > 2 and max(written[1:]) <= spark.sparkContext.defaultParallelism
