@@ -26,9 +26,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,47 +92,56 @@ MEASURES = {
 }
 
 
-def _between(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many flags are set in each range at[i]:at[i + 1]."""
-    return np.diff(np.append(0, np.cumsum(flags, dtype=np.int64))[at])
-
-
-def _repeated_words(hashes: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
-    """Words of each text in windows of `run` words that the text holds twice or more."""
-    if len(hashes) < run:
+def _repeated_words(ids: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
+    """Words of each text in windows of `run` words that the text holds twice or more; ids numbers equal words alike."""
+    if len(ids) < run:
         return np.zeros(len(first) - 1, np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    ok = doc[: len(doc) - run + 1] == doc[run - 1 :]
-    starts = np.flatnonzero(ok)
-    keys = windows(hashes, run)[starts] ^ mix(doc[starts].astype(np.uint64) + np.uint64(1))
+    starts = np.flatnonzero(doc[: len(doc) - run + 1] == doc[run - 1 :])
+    keys = windows(mix(ids.astype(np.uint64) + np.uint64(1)), run)[starts] ^ mix(doc[starts].astype(np.uint64) + np.uint64(1))
     order = np.argsort(keys)
     keys = keys[order]
     same = np.zeros(len(keys), bool)
     same[1:] = keys[1:] == keys[:-1]
     same[:-1] |= same[1:].copy()
-    twice = starts[order[same]]
-    steps = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(steps, twice, 1)
-    np.add.at(steps, twice + run, -1)
-    return _between(np.cumsum(steps[:-1]) > 0, first)
+    hit = np.zeros(len(ids), bool)
+    for i in range(run):
+        hit[starts[order[same]] + i] = True
+    return np.diff(np.searchsorted(np.flatnonzero(hit), first))
 
 
-def _repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Lines of each text with a word, equal to an earlier line."""
+def _repeated_lines(data: np.ndarray, offsets: np.ndarray, word_at: np.ndarray) -> np.ndarray:
+    """Lines of each text with a word, equal to an earlier line; word_at: where the words begin."""
     newline = data == 10
     ends = np.flatnonzero(newline)
     bounds = np.unique(np.concatenate((offsets, ends + 1)))
-    kept_before = np.append(0, np.cumsum(~newline))
-    lines = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(kept_before[bounds].astype(np.int64)), pa.py_buffer(data[~newline])])
+    kept_before = bounds - np.searchsorted(ends, bounds)
+    lines = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(kept_before), pa.py_buffer(data[~newline])])
     ids = lines.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.searchsorted(offsets, bounds[:-1], side="right") - 1
-    full = _between(~((data == 32) | ((data >= 9) & (data <= 13))), bounds) > 0
+    full = np.diff(np.searchsorted(word_at, bounds)) > 0
     doc, ids = doc[full], ids[full]
     distinct = np.unique(doc * (len(lines) + 1) + ids) // (len(lines) + 1)
     size = len(offsets) - 1
     return np.bincount(doc, minlength=size) - np.bincount(distinct, minlength=size)
 
 
+#: What a byte counts as: nothing (0), the first byte of a letter of SCRIPTS[k], white space, a symbol, a later byte of a character.
+WHITE, SYMBOL, LATER = len(SCRIPTS), len(SCRIPTS) + 1, len(SCRIPTS) + 2
+KINDS = np.zeros(256, np.uint8)
+for _script, _firsts in FIRST_BYTES.items():
+    KINDS[_firsts] = SCRIPTS.index(_script)
+KINDS[[9, 10, 11, 12, 13, 32]], KINDS[list(b"#*$%&|<>")], KINDS[0x80:0xC0] = WHITE, SYMBOL, LATER
+
+
+def _kinds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each kind each text has: a row for each text."""
+    n, size = LATER + 1, len(offsets) - 1
+    cells = np.repeat(np.arange(0, n * size, n), np.diff(offsets))
+    cells += KINDS[data]
+    return np.bincount(cells, minlength=n * size).reshape(size, n)
+
+
 def _entropies(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Entropy of each text's ids in bits over log2 of their number (0 for fewer than two)."""
     counts = np.diff(at)
@@ -145,26 +156,35 @@ def _entropies(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 class Pieces:
-    """Number of pieces and of byte pieces of words; kept for the words that a worker meets again."""
+    """Number of pieces and of byte pieces of words; beyond most_known words, those that a worker has met again are kept."""
 
     def __init__(self, model: bytes, most_known: int = 400_000):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
-        self.known: dict[bytes, tuple[int, int]] = {}
         self.most_known = most_known
+        self.known, self.counts, self.again = pa.array([], pa.large_binary()), np.empty((0, 2), np.int64), np.empty(0, bool)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: pa.Array) -> np.ndarray:
+        """Both numbers for each of these distinct words."""
         if len(self.known) > self.most_known:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            coded = self.model.encode([w.decode("utf-8", "replace") for w in part], num_threads=1)
-            counts = np.array([len(c) for c in coded])
-            flags = self.is_byte[np.concatenate([np.asarray(c, np.int64) for c in coded])] if counts.sum() else np.empty(0, bool)
-            fallback = _between(flags, np.append(0, np.cumsum(counts)))
-            self.known.update(zip(part, zip(counts.tolist(), fallback.tolist(), strict=True), strict=True))
-        return np.array([self.known[w] for w in words], np.int64).reshape(-1, 2)
+            kept = np.flatnonzero(self.again)[: self.most_known // 2]
+            self.known, self.counts, self.again = self.known.take(pa.array(kept)), self.counts[kept], np.zeros(len(kept), bool)
+        place = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(place < 0)
+        self.again[place[place >= 0]] = True
+        if len(fresh):
+            place[fresh] = len(self.known) + np.arange(len(fresh))
+            added = words.take(pa.array(fresh))
+            self.known, self.again = pa.concat_arrays([self.known, added]), np.append(self.again, np.zeros(len(fresh), bool))
+            self.counts = np.concatenate([self.counts, *(self._counted(added[lo : lo + 20_000].to_pylist()) for lo in range(0, len(fresh), 20_000))])
+        return self.counts[place]
+
+    def _counted(self, words: list[bytes]) -> np.ndarray:
+        coded = self.model.encode(words, num_threads=1)
+        counts = np.fromiter(map(len, coded), np.int64, len(coded))
+        word = np.repeat(np.arange(len(coded)), counts)
+        ids = np.fromiter(chain.from_iterable(coded), np.int64, len(word))
+        return np.stack((counts, np.bincount(word[self.is_byte[ids]], minlength=len(coded))), 1)
 
 
 _pieces: dict[int, Pieces] = {}
@@ -173,9 +193,6 @@ _pieces: dict[int, Pieces] = {}
 def measured(df: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
     """The rows of df with a struct column __m of all measures; one pass without a shuffle."""
     content, model = shared_file(df, byte_vocabulary), shared_file(df, piece_model)
-    kinds = np.zeros(256, np.int64)
-    for script, firsts in FIRST_BYTES.items():
-        kinds[firsts] = SCRIPTS.index(script)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value)
@@ -185,22 +202,22 @@ def measured(df: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame
         for batch in batches:
             for lo, hi, data, offsets in blocks(text_column(batch), 6 << 20):
                 words = Words(data, offsets)
-                gap = (data == 32) | ((data >= 9) & (data <= 13))
-                leads = (data & 0xC0) != 0x80
-                each = _pieces[key].of(words.vocab.to_pylist())[words.ids]
+                each = np.append([[0, 0]], np.cumsum(_pieces[key].of(words.vocab)[words.ids], 0), 0)[words.first]
                 ids, at = own.encode(data, offsets)
-                letters = np.stack([_between(kinds[data] == k, offsets) for k in range(1, len(SCRIPTS))], 1)
+                kinds = _kinds(data, offsets)
+                chars = np.diff(offsets) - kinds[:, LATER]
+                letters = kinds[:, 1 : len(SCRIPTS)]
                 script = np.where(letters.max(1) > 0, letters.argmax(1) + 1, 0)
                 fields = [
                     np.diff(words.first),
-                    _between(leads & ~gap, offsets),
-                    _between(np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8)), offsets),
-                    _repeated_lines(data, offsets),
-                    _repeated_words(words.hashes(), words.first, 5),
+                    chars - kinds[:, WHITE],
+                    kinds[:, SYMBOL],
+                    _repeated_lines(data, offsets, words.at),
+                    _repeated_words(words.ids, words.first, 5),
                     np.array(SCRIPTS)[script],
-                    _between(leads, offsets),
+                    chars,
                     np.diff(at),
-                    *(np.diff(np.append(0, np.cumsum(each[:, i]))[words.first]) for i in (0, 1)),
+                    *np.diff(each, axis=0).T,
                     _entropies(ids, at, own.size),
                 ]
                 found = pa.StructArray.from_arrays([pa.array(f) if f.dtype.kind in "fU" else pa.array(f, pa.int64()) for f in fields], names=list(MEASURES))

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables that hold the hard cases."""
 
 import bisect
+import cProfile
 import hashlib
 import os
 import random
@@ -10,7 +11,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -174,6 +177,24 @@ def test_fertility_of_short_texts_and_few_documents(spark):
     assert got[1]["fallback_share"] > 0.1 and not got[1]["base_failed"] and not got[1]["kept"] and got[2]["kept"]
 
 
+def test_fertility_encodes_frequent_words_once_and_makes_no_call_for_a_word():
+    content = open(PIECES, "rb").read()
+    plain, pieces = sentencepiece.SentencePieceProcessor(model_proto=content), fertility.Pieces(content, most_known=400)
+    r, encoded, calls = random.Random(2), [], cProfile.Profile()
+    counted = pieces._counted
+    pieces._counted = lambda part: encoded.extend(part) or counted(part)
+    signs = [*"abcdeésth▁日\x00\U00012000", "<s>", "tion"]
+    new = lambda n: ["".join(r.choices(signs, k=9)).encode() for _ in range(n)]
+    frequent = new(100)
+    for _ in range(20):
+        block = list(dict.fromkeys([*frequent, *new(200)]))
+        got = calls.runcall(pieces.of, pa.array(block, pa.large_binary()))
+        want = [plain.encode(w.decode()) for w in block]
+        assert got.tolist() == [[len(ids), sum(map(plain.is_byte, ids))] for ids in want]
+    assert len(encoded) <= len(set(encoded)) + 10 and set(frequent) <= set(encoded)
+    assert sum(e.callcount for e in calls.getstats()) < len(encoded)
+
+
 def test_packing(docs, none):
     tokenizer = Tokenizer.from_file(BYTES)
     plan = packing.Packing(chunk=8)
