@@ -286,15 +286,18 @@ def _scored(fields: DataFrame, asked: DataFrame, least: int, top: int, most_cell
     return fields.select(F.col("id").cast("long").alias("id"), "title", "keywords", "text").mapInArrow(run, f"question_id {kind.simpleString()}, id long, score long")
 
 
-def attributed(contexts: DataFrame, docs: DataFrame, most_contexts: int = 2_000, most_bytes: int = 1 << 20) -> DataFrame:
+def attributed(contexts: DataFrame, docs: DataFrame, most_contexts: int = 2_000, most_bytes: int = 1 << 20, plain: bool = False) -> DataFrame:
     """context_id, doc_id where the document's text holds the context's or the context's text holds the document's.
 
-    Lines of a context that only mark a hop (`<1-hop>`) aren't part of it; an empty context or text holds nothing.  Up to
+    Lines of a context that only mark a hop (`<1-hop>`) aren't part of it; an empty context or text holds nothing and is held by none.
+    plain: contexts are taken as they are, and an empty context or text is held by every text, as by SQL's contains.  Up to
     a checked number and size the contexts go to every task, and documents are read once without a shuffle; more of
     them meet the documents on runs of words.
     """
     lines = F.filter(F.split("context", r"\r\n|[\n\r]"), lambda x: ~(F.startswith(x, F.lit("<")) & F.endswith(x, F.lit("-hop>"))))
-    c = contexts.select("context_id", F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "").alias("context")).filter("context <> ''").distinct()
+    own = F.col("context") if plain else F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")
+    c = contexts.select("context_id", own.alias("context")).filter("context IS NOT NULL" if plain else "context <> ''").distinct()
+    d = docs.select("doc_id", "text").filter("text IS NOT NULL" if plain else "text <> ''")
     n, size = c.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("context").cast("long")), F.lit(0))).first()
     if n <= most_contexts and size <= most_bytes:
         known = sorted((tuple(r) for r in c.collect()), key=str)
@@ -313,11 +316,15 @@ def attributed(contexts: DataFrame, docs: DataFrame, most_contexts: int = 2_000,
 
         ids = to_arrow_type(c.schema["context_id"].dataType)
         schema = f"context_id {c.schema['context_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-        return docs.select("doc_id", "text").filter("text <> ''").mapInArrow(run, schema).distinct()
-    d = docs.select("doc_id", "text").filter("text <> ''").distinct()
+        return d.mapInArrow(run, schema).distinct()
+    d = d.distinct()
     inner = _held(c.select(F.col("context_id").alias("a"), F.col("context").alias("needle")), d.select(F.col("doc_id").alias("b"), F.col("text").alias("hay")))
     outer = _held(d.select(F.col("doc_id").alias("a"), F.col("text").alias("needle")), c.select(F.col("context_id").alias("b"), F.col("context").alias("hay")))
-    return inner.select(F.col("a").alias("context_id"), F.col("b").alias("doc_id")).unionByName(outer.select(F.col("b").alias("context_id"), F.col("a").alias("doc_id"))).distinct()
+    found = inner.select(F.col("a").alias("context_id"), F.col("b").alias("doc_id")).unionByName(outer.select(F.col("b").alias("context_id"), F.col("a").alias("doc_id")))
+    if plain:  # empty ones share no run with anything
+        pairs = c.filter("context = ''").select("context_id").crossJoin(d.select("doc_id")).unionByName(c.select("context_id").crossJoin(d.filter("text = ''").select("doc_id")))
+        found = found.unionByName(pairs)
+    return found.distinct()
 
 
 def _held(needles: DataFrame, hays: DataFrame, most: int = 4, probe: int = 16) -> DataFrame:

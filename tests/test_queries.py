@@ -131,7 +131,7 @@ def beside_sql(spark, folder, name, texts):
         con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{folder}/benchmark.parquet/*.parquet'")
     found = con.execute(ORACLES[name])
     columns, want = [d[0] for d in found.description], found.fetchall()
-    return tuple(sorted(tuple(map(plain, r)) for r in x) for x in (QUERIES[name](spark, str(folder)).select(*columns).collect(), want))
+    return (sorted(tuple(map(plain, r)) for r in x) for x in (QUERIES[name](spark, str(folder)).select(*columns).collect(), want))
 
 
 #: Texts that are empty, missing or only white space, among others.
@@ -141,3 +141,14 @@ BARE = ["", "a b", None, "", "  ", "c", None, "", "\n\t\u00a0", " d  e ", "f", "
 def test_run_totals_of_documents_without_text(spark, tmp_path):
     got, want = beside_sql(spark, tmp_path, "agg15_run_totals", BARE)
     assert got == want and got[0][:3] == ("15", "70", "70")
+
+
+def test_attribution_of_empty_texts_as_in_sql(spark, tmp_path):
+    """By both ways: an empty text is held by every one, a missing one by none, and white space counts."""
+    contexts = [(1, "a b"), (2, ""), (3, None), (4, " a b"), (5, "<1-hop>\nc"), (6, "so a b it is")]
+    spark.createDataFrame(contexts, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got, want = beside_sql(spark, tmp_path, "jn10_source_attribution", [*BARE, "so a b it is", " a b c"])
+    assert got == want and ("1", "0") in got and ("2", "0") in got and not {x[1] for x in got} & {"2", "6"}
+    c, docs = spark.createDataFrame(contexts, "context_id long, context string"), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    far = evaluation.attributed(c, docs, most_contexts=0, plain=True)
+    assert sorted(tuple(map(plain, r)) for r in far.collect()) == want
