@@ -152,3 +152,9 @@ def test_attribution_of_empty_texts_as_in_sql(spark, tmp_path):
     c, docs = spark.createDataFrame(contexts, "context_id long, context string"), spark.read.parquet(str(tmp_path / "documents.parquet"))
     far = evaluation.attributed(c, docs, most_contexts=0, plain=True)
     assert sorted(tuple(map(plain, r)) for r in far.collect()) == want
+
+
+def test_ingest_of_documents_without_words_as_in_sql(spark, tmp_path):
+    """A document without words stays live, whole and without chunks; its older wording is another one."""
+    got, want = beside_sql(spark, tmp_path, "str1_incremental_ingest", BARE)
+    assert got == want and len({x[1] for x in got}) == 4
