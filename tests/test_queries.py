@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lantern.operators import evaluation, vectors
 from lantern.plans.catalog import ORACLES, QUERIES
@@ -158,3 +159,30 @@ def test_ingest_of_documents_without_words_as_in_sql(spark, tmp_path):
     """A document without words stays live, whole and without chunks; its older wording is another one."""
     got, want = beside_sql(spark, tmp_path, "str1_incremental_ingest", BARE)
     assert got == want and len({x[1] for x in got}) == 4
+
+
+def test_lexical_search_keeps_only_rows_that_may_be_among_the_best(spark):
+    """A floor from the largest articles leaves out the rest before rows move; few seeds, no room for rows of ones and long articles give the same rows."""
+    from lantern.functions import texts
+
+    words = [f"{chr(97 + i % 26)}{i}q" for i in range(400)]
+    said = lambda seed, n: " ".join(words[(seed * 31 + j * j * 7) % 400] for j in range(n))
+    asked = [(i, said(i, 3 + i % 40)) for i in range(30)] + [(98, None), (99, "absent")]
+    articles = [(i, said(i, 2) if i % 3 else None, said(i + 5, 4), said(i * 3, 300 if i % 10 == 0 else 30)) for i in range(80)]
+    score = lambda q, a: sum(w * len(set((q or "").split()) & set((t or "").split())) for w, t in zip((3, 2, 1), a[1:], strict=True))
+    cut = lambda q: " ".join({x[:5] for x in (q or "").split()})
+    asked, articles = [(i, cut(t)) for i, t in asked], [(a[0], *map(cut, a[1:])) for a in articles]
+    best = {q: sorted((-score(t, a), a[0]) for a in articles if score(t, a) >= 2) for q, t in asked}
+    want = sorted((q, k + 1, i, -s) for q in best for k, (s, i) in enumerate(best[q][:3]))
+    q, a = spark.createDataFrame(asked, "question_id long, question string"), spark.createDataFrame(articles, "id long, title string, keywords string, text string").repartition(8)
+    assert sorted(map(tuple, evaluation.lexical(q, a, texts.terms).collect())) == want
+    stems = q.select("question_id", texts.terms(F.col("question")).alias("stems"))
+    fields = a.select("id", *(texts.terms(F.col(c)).alias(c) for c in ("title", "keywords", "text"))).persist()
+    for seeds in (2, 8, 80):
+        floor = evaluation._with_floor(stems, fields, 2, 3, most_seeds=seeds)
+        assert all(r["floor"] <= max(2, -([*best[r["question_id"]], (-2, 0), (-2, 0), (-2, 0)][2][0])) for r in floor.collect())
+        for cells in (100_000_000, 200, 0):
+            rows = evaluation._scored(fields, floor, 2, 3, most_cells=cells).collect()
+            found = {k: sorted((-r["score"], r["id"]) for r in rows if r["question_id"] == k)[:3] for k in best}
+            assert found == {k: b[:3] for k, b in best.items()}
+    assert len(rows) < 150  # every task kept three rows of every question before
